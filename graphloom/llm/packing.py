@@ -137,11 +137,14 @@ def pack(sizes: DataFrame, capacities: DataFrame, per_shard: int = 20_000) -> Da
     # a text is drawn to the shard (hash, of size classes) once its number is known; the count is one cheap pass
     shards = max(1, round(sizes.select("id").count() / per_shard))
     plan = F.array(*[F.struct(F.lit(n).alias("budget_name"), F.lit(int(c)).cast("long").alias("capacity")) for n, c in budgets])
-    rows = sizes.where(F.col("tokens") > 0).select("id", "tokens", F.pmod(F.xxhash64("id", "tokens"), F.lit(shards)).cast("int").alias("shard"), F.explode(plan).alias("b")).select("id", "tokens", "shard", "b.*")
+    # repeated ids get numbers, so that their containers have names of their own
+    copies = sizes.where(F.col("tokens") > 0).groupBy("id", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    single = copies.select("id", "tokens", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    rows = single.select("id", "tokens", "copy", F.pmod(F.xxhash64("id", "tokens", "copy"), F.lit(shards)).cast("int").alias("shard"), F.explode(plan).alias("b")).select("id", "tokens", "copy", "shard", "b.*")
     size = F.col("capacity")
     whole = F.floor(F.col("tokens") / size)
-    full = rows.where(F.col("tokens") >= size).select("budget_name", "capacity", "id", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece")).select(
-        "budget_name", "capacity", F.concat_ws("/", "budget_name", F.lit("whole"), "id", "piece").alias("container"), "id", F.col("piece").cast("long").alias("piece"), (F.col("piece") * size).alias("start"), size.alias("tokens")
+    full = rows.where(F.col("tokens") >= size).select("budget_name", "capacity", "id", "copy", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece")).select(
+        "budget_name", "capacity", F.concat_ws("/", "budget_name", F.lit("whole"), "id", "piece", F.when(F.col("copy") > 1, F.col("copy").cast("string"))).alias("container"), "id", F.col("piece").cast("long").alias("piece"), (F.col("piece") * size).alias("start"), size.alias("tokens")
     )
     rest = rows.select("budget_name", "capacity", "shard", "id", whole.cast("long").alias("piece"), (whole * size).cast("long").alias("start"), (F.col("tokens") - whole * size).cast("long").alias("tokens")).where(F.col("tokens") > 0)
 
