@@ -57,10 +57,12 @@ DESKS = frozenset(
     name example test tests feedback hello it accounts account orders order cron backup www ftp mail db database postgres mysql redis runner robot automation release releases""".split()
 )
 MAIL = re.compile(r"[A-Za-z0-9_](?:[\w.+'%-]*[\w+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@-]|\.\w)")
-HIDDEN_MAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9_](?:[\w.+-]*[\w+-])? ?(?:\(at\)|\[at\]|\{at\}|<at>|(?<= )at(?= )|\(@\)|\[@\]|_at_) ?[A-Za-z0-9][\w-]*(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|<dot>|(?<= )dot(?= )|\(\.\)|\[\.\]|_dot_|\(punkt\)|\(point\)|\(punto\)) ?[A-Za-z0-9][\w-]*)*",
-    re.I,
-)
+_HOST = r"[A-Za-z0-9][\w-]*"
+_USER = r"(?<![\w.+-])[A-Za-z0-9_](?:[\w.+-]*[\w+-])?"
+_DOT = r" ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>|(?<= )dot(?= )|\(\.\)|\[\.\]|_dot_|\(punkt\)|\(point\)|\(punto\)) ?"
+#: disguised addresses: with a marked at sign, whose dots may be plain, and with both spelled out
+MARKED_MAIL = re.compile(rf"{_USER} ?(?:\(at\)|\[at\]|\{{at\}}|<at>|\(@\)|\[@\]|_at_) ?{_HOST}(?:(?:\.|{_DOT}){_HOST})+", re.I)
+SPOKEN_MAIL = re.compile(rf"{_USER} at {_HOST}(?:{_DOT}{_HOST})+", re.I)
 SEP = r"[ .\-/ ]"
 PHONE = re.compile(
     rf"""(?<![\w.+\-/:#@])(?:
@@ -208,11 +210,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if small[at] == "@":
                 if s := _mails(text, at):
                     spans.append((*s, "email"))
-            for m in HIDDEN_MAIL.finditer(text, max(0, at - 60), min(n, at + 90)) if size > 1 and (size != 4 or small[at] != " " or " dot " in small[at : at + 60]) else ():
+            shape = SPOKEN_MAIL if small[at] == " " else MARKED_MAIL
+            for m in shape.finditer(text, max(0, at - 70), min(n, at + 120)) if size > 1 and (small[at] != " " or "dot" in small[at : at + 70]) else ():
                 if m.start() <= at < m.end():
-                    local = re.split(r" ?(?:\(at\)|\[at\]|\{at\}|<at>| at |_at_)", m[0], maxsplit=1, flags=re.I)[0].lower()
-                    rest = m[0][len(local) :]
-                    if re.search(r"\.|dot|punkt|point|punto", rest, re.I) and re.sub(r"\+.*", "", local) not in DESKS and not (" at " in rest.lower()[:4] and " dot " not in rest.lower()):
+                    local = re.split(r" ?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]| at |_at_)", m[0], maxsplit=1, flags=re.I)[0].lower()
+                    if re.sub(r"\+.*", "", local) not in DESKS:
                         spans.append((m.start(), m.end(), "email"))
         elif kind == "id":
             if at and (small[at - 1].isalnum() or small[at - 1] == "_"):
