@@ -94,7 +94,7 @@ GRAMMARS = {
     + """
 body = (part COMMA?)*
 part = stmt | member
-pun = COMMA | SEMI | COLON | Q | EQ
+pun = COMMA | SEMI | COLON | Q
 elem = expr | VAR expr
 expr = un (op un)*
 op = BIN | ADD | STAR | LT | GT | ASG | EQ | Q | COLON | ARROW | COMMA | INOP | MOD | EXT | Q COLON | COLON LT | EQ LT | GT EQ | GT COLON | GT ARROW | LT GT | GT GT | COLON BIN | EQ BIN | Q DOT
@@ -107,7 +107,7 @@ func = MOD* FUNC STAR? name? generic? paren (COLON expr)? brace
 generic = LT list GT
 class = CLASS name? generic? (EXT expr)? (MOD list)? brace
 member = (MOD | AT paren? | STAR)* (word | STR | NUM | brack) (Q | NOT)? generic? (paren | COLON expr | EQ expr)* (brace | SEMI)?
-stmt = expr SEMI? | VAR list SEMI? | VAR UNK list SEMI? | IF MOD? paren stmt | IF UNK paren stmt | DO stmt | ELSE stmt | TRY brace | CATCH paren? brace | FIN brace | RET expr? SEMI? | BRK ID? SEMI? | CASE expr COLON | DEF COLON | func | class | brace | SEMI | AT paren? stmt | IMP list? MOD? STR SEMI? | IMP STAR MOD name MOD STR SEMI? | IMP brace MOD STR SEMI? | IMP paren post* SEMI? | IMP DOT word post* | IMP STR brace? | EXP (stmt | DEF (expr | func | class) SEMI? | STAR (MOD name)? MOD STR SEMI? | brace (MOD STR)? SEMI? | MOD+ stmt | EQ expr) | MOD+ stmt | MOD name generic? (EXT list)? (EQ BIN? list)? brace? SEMI? | MOD CLASS | MOD FUNC | MOD VAR list | VAR MOD name brace | MOD STR brace
+stmt = expr SEMI? | VAR list SEMI? | VAR UNK list SEMI? | IF MOD? paren stmt | IF UNK paren stmt | DO stmt | ELSE stmt | TRY brace | CATCH paren? brace | FIN brace | RET expr? SEMI? | BRK ID? SEMI? | CASE expr COLON | DEF COLON | func | class | brace | SEMI | name COLON stmt | AT paren? stmt | IMP list? MOD? STR SEMI? | IMP STAR MOD name MOD STR SEMI? | IMP brace MOD STR SEMI? | IMP paren post* SEMI? | IMP DOT word post* | IMP STR brace? | EXP (stmt | DEF (expr | func | class) SEMI? | STAR (MOD name)? MOD STR SEMI? | brace (MOD STR)? SEMI? | MOD+ stmt | EQ expr) | MOD+ stmt | MOD name generic? (EXT expr)? (EQ BIN? expr)? brace? SEMI? | MOD CLASS | MOD FUNC | MOD VAR list | VAR MOD name brace | MOD STR brace
 """,
     "go": _COMMON
     + """
@@ -123,7 +123,7 @@ prim = ID | NUM | STR | paren | brack type? | brack | brace | func | type | MAP
 post = DOT ID | DOT paren | DOT LP TYPE RP | paren | brack | brace | ELL | INC
 func = FUNC (paren)? (ID generic?)? paren (type | paren)? brace?
 generic = brack
-stmt = expr SEMI | PKG ID SEMI | IMP (STR | ID STR | DOT STR | paren) SEMI | func SEMI? | TYPE (ID generic? EQ? type | paren) SEMI? | VAR (list | ID type? (EQ expr)? | paren) SEMI | IF list? brace | ELSE (stmt | brace) | FOR list? SEMI? list? brace | FOR RANGE expr brace | FOR SEMI | SWITCH list? brace | SELECT brace | CASE list COLON | DEF COLON | RET list? SEMI | BRK ID? SEMI | GO expr SEMI | brace SEMI? | SEMI | ID COLON
+stmt = expr SEMI | PKG ID SEMI | IMP (STR | ID STR | DOT STR | paren) SEMI | func SEMI? | TYPE (ID generic? EQ? type | paren) SEMI? | VAR (list | ID type? (EQ expr)? | paren) SEMI | IF list? brace | ELSE (stmt | brace) | FOR list? brace | FOR RANGE expr brace | FOR SEMI | SWITCH list? brace | SELECT brace | CASE list COLON | DEF COLON | RET list? SEMI | BRK ID? SEMI | GO expr SEMI | brace SEMI? | SEMI | ID COLON
 file = stmt*
 """,
     "java": _COMMON
@@ -185,7 +185,7 @@ op = BIN | ADD | STAR | AMP | LT | GT | ASG | EQ | AS | ELL | COLON | COMMA | FA
 un = (ADD | NOT | STAR | AMP | MUT | REF | ELL | MOVE | UNSAFE | ASYNC | BIN | LIFE COLON | BOX)* prim post*
 prim = ID | NUM | STR | paren | brack | brace | closure | IF expr brace (ELSE (IF expr)? brace)? | MATCH expr brace | LOOP brace | FOR pat IN expr brace | IF LET pat EQ expr | RET expr? | BRK LIFE? expr? | ELL | type
 closure = BIN (list BIN)? (ARROW type)? expr
-post = Q | DOT (ID | NUM) | paren | brack | brace | DC (ID | generic) | NOT (paren | brack | brace) | ELL | LIFE
+post = Q | DOT (ID | NUM) | paren | brack | brace | DC (ID | generic | STAR | brace) | NOT (paren | brack | brace) | ELL | LIFE
 where = WHERE list
 fn = (CONST | ASYNC | UNSAFE | EXTERN STR?)* FN ID generic? paren (ARROW type)? where? (brace | SEMI)
 stmt = attr | vis stmt | expr SEMI | IF expr brace (ELSE (IF expr)? brace)? | IF LET pat EQ expr brace | MATCH expr brace | LOOP brace | FOR pat IN expr brace | LET pat (COLON type)? (EQ expr (ELSE brace)?)? SEMI | USE (DC? (ID | brace | STAR) (DC (ID | brace | STAR))* (AS ID)?) SEMI | MOD ID (brace | SEMI) | fn | STRUCT ID generic? where? (brace | paren where? SEMI | SEMI) | UNSAFE? IMPL generic? NOT? type (FOR type)? where? brace | TRAIT ID generic? (COLON type)? where? brace | (CONST | STATIC) MUT? ID COLON type (EQ expr)? SEMI | TYPE ID generic? (COLON type)? (EQ type)? SEMI | EXTERN STR? brace | EXTERN ID ID SEMI | UNSAFE brace | SEMI | brace | ID NOT ID? (brace | paren | brack) SEMI? | WHILE expr brace | WHILE LET pat EQ expr brace | LIFE COLON stmt
@@ -194,8 +194,10 @@ file = stmt*
     "python": _COMMON
     + """
 body = list
-pun = COMMA | COLON | EQ | STAR
+pun = COMMA | COLON | STAR
 elem = expr
+inner = COMMA | STAR
+paren = LP inner* (elem (inner+ elem)*)? inner* RP
 expr = un (op un)*
 op = BIN | ADD | STAR | EQ | ASG | COMMA | COLON | INOP | IF | ELSE | FOR | AS | WALRUS | ARROW | FROM | BIN COMMA
 un = (ADD | NOT | STAR | LAMBDA | UNK | TILDE | COLON)* prim post*

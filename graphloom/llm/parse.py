@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.grammar import GRAMMARS, lex, permitted
+from graphloom.llm.registry import shared_dir
 
 #: shapes of statements for which there is no production, by language: a pattern over token classes, and where it holds
 #: (``top``: outside of all brackets, ``end``: at the end of the file, ``any``)
@@ -24,7 +25,7 @@ NO_PRODUCTION = (
     ("javascript typescript", "end", r"(^| )(FUNC|CLASS|TRY|FIN|CATCH|DO|ELSE)( |$)|^(EXP )?IMP (?!(.* )?STR$|LP |DOT )|^EXP$|^(EXP )?MOD ID$|^(EXP )?MOD (MOD|FUNC|VAR)( ID)?$|^IF LP((?!RP).)*$|^IF LP [^;]*RP$"),
     ("javascript typescript", "any", r"^IMP ID( (?!(MOD|COMMA|EQ) ).*)?$"),
     ("java", "top", r"^(?!ANN( |$)|MODS( |$)|CLASS |ENUM |PKG |IMP |ID ID (LP|LT) |ID CLASS |SEMI$|RC$|EOF$).+"),
-    ("go", "top", r"^(?!PKG |IMP |FUNC |TYPE |VAR |SEMI$|RC$).+|^FUNC (LP [^;]* RP )?ID( LB .* RB)? SEMI$"),
+    ("go", "top", r"^(?!PKG |IMP |FUNC |TYPE |VAR |SEMI$|RC$|LC( |$)|LP |RP |DOT |COMMA ).+|^FUNC (LP [^;]* RP )?ID( LB .* RB)? SEMI$"),
     ("c", "top", r"^(?!TY( |$)|STRUCT( |$)|TYPEDEF |ID( |$)|STAR |COMMA |EQ |LP |SEMI$|RC( |$)|STR ).+"),
     ("rust", "top", r"^(?!HASH |PUB |USE |MOD |FN |STRUCT |IMPL |TRAIT |TYPE |CONST |STATIC |EXTERN |UNSAFE |ASYNC |ID NOT |SEMI$|RC$|WHERE |COMMA ).+"),
     ("python", "any", r"^(DEF|CLASS|IF|WHILE|FOR|WITH|TRY|EXCEPT|FIN|ELSE)( (?!COLON( |$))\S+)*$"),
@@ -41,7 +42,9 @@ def tokens(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": part["id"], "language": part["language"], "t": [lex(t, x) for t, x in zip(part["text"], part["language"], strict=True)]})
 
     known = texts.where(F.col("language").isin(list(GRAMMARS)) & (F.length("text") > 0))
-    lexed = known.select("id", "language", "text").mapInPandas(run, "id long, language string, t array<string>")
+    shared_dir(texts.sparkSession)
+    # three plans read the tokens; without the cut each would lex every file again
+    lexed = known.select("id", "language", "text").mapInPandas(run, "id long, language string, t array<string>").checkpoint()
     return lexed.select("id", "language", F.posexplode("t").alias("pos", "cls"))
 
 
@@ -95,6 +98,9 @@ def syntax_errors(texts: DataFrame) -> DataFrame:
     handled = F.coalesce(follows.rlike(r"^(EXCEPT|FIN) "), F.lit(False))
     opened = F.coalesce(leads.rlike(r"^(TRY|EXCEPT|ELSE) "), F.lit(False))
     judged = pieces.withColumn("bad", bad | (python & F.col("shape").rlike(r"^TRY COLON") & ~handled) | (python & F.col("shape").rlike(r"^(EXCEPT|FIN) ") & ~opened & ~F.coalesce(leads.rlike(r"^TRY"), F.lit(False))))
+    # an import list of names must go on with where they come from
+    listed = F.col("language").isin("javascript", "typescript") & F.col("shape").rlike(r"^IMP( MOD| ID COMMA)* LC$") & ~F.coalesce(F.lead("shape", 2).over(block).rlike(r"^MOD STR"), F.lit(False))
+    judged = judged.withColumn("bad", F.col("bad") | listed)
     shapeless = judged.where("bad").select("id", F.lit("statement").alias("why"))
     return odd.unionByName(loose).unionByName(shapeless).groupBy("id").agg(F.min("why").alias("why"))
 
