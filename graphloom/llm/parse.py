@@ -33,7 +33,7 @@ NO_PRODUCTION = (
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    """Rows (id, language, pos, cls) of the tokens of (id, language, text) rows whose language has a grammar."""
+    """Rows (id, language, t): the token classes, in order, of (id, language, text) rows whose language has a grammar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -45,7 +45,7 @@ def tokens(texts: DataFrame) -> DataFrame:
     shared_dir(texts.sparkSession)
     # three plans read the tokens; without the cut each would lex every file again
     lexed = known.select("id", "language", "text").mapInPandas(run, "id long, language string, t array<string>").checkpoint()
-    return lexed.select("id", "language", F.posexplode("t").alias("pos", "cls"))
+    return lexed.where(F.size("t") > 0)
 
 
 def syntax_errors(texts: DataFrame) -> DataFrame:
@@ -55,37 +55,35 @@ def syntax_errors(texts: DataFrame) -> DataFrame:
     with several texts is judged by all their tokens together. ``why`` is one of pair, nesting and statement.
     """
     spark = texts.sparkSession
-    by_pos = Window.partitionBy("id").orderBy("pos")
-    upto = by_pos.rowsBetween(Window.unboundedPreceding, 0)
-    bare = F.ltrim(F.col("cls"), F.lit("^"))
-    opens, closes = bare.isin("LP", "LB", "LC"), bare.isin("RP", "RB", "RC")
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    brace_ends = bare.isin("SEMI", "LC", "RC", "NL", "NLC")
-    rows = tokens(texts).select(
-        "id", "language", "pos", "cls", bare.alias("b"), F.lag("cls").over(by_pos).alias("before"), F.sum(step).over(upto).alias("depth"),
-        F.sum(F.when(bare.isin("LP", "LB"), 1).when(bare.isin("RP", "RB"), -1).otherwise(0)).over(upto).alias("round"),
-        F.sum(F.when(bare == "INDENT", 1).when(bare == "DEDENT", -1).otherwise(0)).over(upto).alias("level"),
-        opens.alias("o"), closes.alias("c"), brace_ends.alias("stop"),
-    )
-    pairs = rows.where(F.col("before").isNotNull()).select("id", "language", F.ltrim(F.col("before"), F.lit("^")).alias("a"), F.when(F.col("b") == "EOF", "EOF").when(F.col("before") == "BOF", F.col("b")).otherwise(F.col("cls")).alias("n")).distinct()
-    allowed = spark.createDataFrame(list(permitted()), "language string, a string, n string")  # bounded by the grammars
-    odd = pairs.join(F.broadcast(allowed), ["language", "a", "n"], "left_anti").select("id", F.lit("pair").alias("why"))
-
-    at = F.col("depth") + F.when(F.col("c"), 1).otherwise(0)
-    brackets = rows.where(F.col("o") | F.col("c")).select("id", "pos", "b", "o", at.alias("at"))
+    lexed = tokens(texts)
+    plain = lambda c: F.ltrim(c, F.lit("^"))
+    # pairs: distinct within the file before they become rows, so that none of the tokens is shuffled
+    nxt = lambda i: F.when(F.element_at("t", i + 1) == "EOF", "EOF").when(i == 1, plain(F.element_at("t", i + 1))).otherwise(F.element_at("t", i + 1))
+    adjacent = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", plain(F.element_at("t", i)), nxt(i)))
+    pairs = lexed.select("id", "language", F.explode(F.array_distinct(adjacent)).alias("pair"))
+    allowed = spark.createDataFrame([(x, f"{a} {b}") for x, a, b in permitted()], "language string, pair string")  # bounded by the grammars
+    odd = pairs.join(F.broadcast(allowed), ["language", "pair"], "left_anti").select("id", F.lit("pair").alias("why"))
+
+    # nesting: a row a bracket, its depth a running sum, partners next to each other within their depth
+    marks = lexed.select("id", F.posexplode("t").alias("pos", "cls")).select("id", "pos", plain(F.col("cls")).alias("b")).where(F.col("b").isin("LP", "LB", "LC", "RP", "RB", "RC"))
+    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("b").isin("LP", "LB", "LC")
+    deep = marks.select("id", "pos", "b", opens.alias("o"), F.sum(F.when(opens, 1).otherwise(-1)).over(upto).alias("depth"))
+    brackets = deep.withColumn("at", F.col("depth") + F.when(F.col("o"), 0).otherwise(1))
     same = Window.partitionBy("id", "at").orderBy("pos")
     partner = F.when(F.lag("b").over(same) == "LP", "RP").when(F.lag("b").over(same) == "LB", "RB").when(F.lag("b").over(same) == "LC", "RC")
     nested = brackets.select("id", "at", "o", "b", partner.alias("due"), F.lead("o").over(same).alias("then"))
     wrong = F.when(F.col("o"), F.coalesce(F.col("then"), F.lit(True))).otherwise(~F.col("due").eqNullSafe(F.col("b")))
     loose = nested.where(wrong | (F.col("at") < 1)).select("id", F.lit("nesting").alias("why"))
 
-    # statements: a semicolon inside round or square brackets ends none
-    stop = F.when(F.col("stop") & ~((F.col("b") == "SEMI") & (F.col("round") > 0)), 1).otherwise(0)
-    before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
-    staged = rows.where(~F.col("b").isin("BOF", "INDENT", "DEDENT")).select(
-        "id", "language", "pos", "b", "level", F.coalesce(F.sum(stop).over(before), F.lit(0)).alias("piece"), (F.col("depth") - step_of("o", "c")).alias("outer")
-    )
-    pieces = staged.groupBy("id", "language", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), " ").alias("shape"), F.min_by("outer", "pos").alias("outer"), F.min_by("level", "pos").alias("level"))
+    # statements: a row a piece up to a semicolon, a brace or a line's end; depth and indentation are running sums
+    whole = F.regexp_replace(F.array_join("t", " "), r"\^|^BOF ", "")
+    cut = lexed.select("id", "language", F.posexplode(F.split(whole, r"(?<=(?:^|\s)(?:SEMI|LC|RC|NL|NLC)) ")).alias("piece", "raw"))
+    count = lambda p: F.regexp_count("raw", F.lit(p))
+    steps = cut.select("id", "language", "piece", F.trim(F.regexp_replace("raw", r"(^|\s)(?:INDENT|DEDENT)(?=\s|$)", " ")).alias("shape"), (count(r"\b(?:LP|LB|LC)\b") - count(r"\b(?:RP|RB|RC)\b")).alias("net"), (count(r"\bINDENT\b") - count(r"\bDEDENT\b")).alias("shift"))
+    run = Window.partitionBy("id").orderBy("piece")
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    pieces = steps.select("id", "language", "piece", "shape", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("outer"), F.sum("shift").over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("level"))
     where = {"any": F.lit(True), "top": F.col("outer") == 0, "end": F.col("shape").endswith("EOF")}
     bad = F.lit(False)
     for languages, place, pattern in NO_PRODUCTION:
@@ -105,10 +103,6 @@ def syntax_errors(texts: DataFrame) -> DataFrame:
     return odd.unionByName(loose).unionByName(shapeless).groupBy("id").agg(F.min("why").alias("why"))
 
 
-def step_of(opens: str, closes: str) -> Column:
-    """The change of depth that a token brings."""
-    return F.when(F.col(opens), 1).when(F.col(closes), -1).otherwise(0)
-
 
 def python_confirmed(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     """The flagged rows without those Python files that Python itself can parse."""
