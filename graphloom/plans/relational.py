@@ -111,7 +111,7 @@ sql_query("win_per_file_cap", "SELECT id, file_id FROM (SELECT id, file_id, row_
 sql_query("win_cap_with_truncation", "SELECT kind, kept, total - kept AS dropped FROM (SELECT kind, count(*) AS total, sum(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS kept FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY source_name, target_name, id) AS r FROM {edges}) t GROUP BY kind) u",
           "SELECT kind, kept, total - kept AS dropped FROM (SELECT kind, count(*) AS total, sum(CASE WHEN r <= 25 THEN 1 ELSE 0 END)::BIGINT AS kept FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY source_name, target_name, id) AS r FROM edges) t GROUP BY kind) u")
 sql_query("win_closing_interval", "SELECT id, start_line, lead(start_line) OVER (PARTITION BY file_id ORDER BY start_line, id) - 1 AS last_line FROM {symbols}")
-sql_query("top_sort_suspects", "SELECT candidate_id, row_number() OVER (ORDER BY CASE suspect_strength WHEN 'strong' THEN 0 WHEN 'moderate' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END, CASE removal_risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file, coalesce(line, -1), candidate_id) AS place FROM {suspect_candidates}")
+sql_query("top_sort_suspects", "SELECT candidate_id, suspect_strength, removal_risk FROM {suspect_candidates} ORDER BY CASE suspect_strength WHEN 'strong' THEN 0 WHEN 'moderate' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END, CASE removal_risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file, coalesce(line, -1), candidate_id LIMIT 100")
 sql_query("top_entry_points", "SELECT name, max(entry_score) AS score FROM {symbols} WHERE entry_score IS NOT NULL AND entry_score = entry_score GROUP BY name ORDER BY score DESC, name LIMIT 20")
 sql_query("top_page", "SELECT id, name FROM {symbols} ORDER BY name, id LIMIT 100 OFFSET 200")
 

@@ -109,11 +109,9 @@ sql_query(
     """SELECT s.id, CASE WHEN i.n IS NULL THEN 'no references' WHEN i.extracted = 0 THEN 'only uncertain references' ELSE 'referenced' END AS reason FROM {symbols} s
        LEFT JOIN (SELECT target_name, count(*) AS n, count(CASE WHEN confidence = 'EXTRACTED' THEN 1 END) AS extracted FROM {edges} WHERE source_name <> target_name GROUP BY target_name) i ON i.target_name = s.name WHERE s.kind IN ('function', 'method', 'class')""",
 )
-sql_query(
-    "rep_cluster_peers",
-    "SELECT a.name, count(DISTINCT b.name) AS peers FROM (SELECT name, min_by(cluster_id, id) AS cluster_id FROM {symbols} GROUP BY name) a JOIN (SELECT DISTINCT name, cluster_id FROM {symbols}) b ON b.cluster_id = a.cluster_id AND b.name <> a.name WHERE a.cluster_id IS NOT NULL GROUP BY a.name",
-    "SELECT a.name, count(DISTINCT b.name) AS peers FROM (SELECT name, arg_min_null(cluster_id, id) AS cluster_id FROM symbols GROUP BY name) a JOIN (SELECT DISTINCT name, cluster_id FROM symbols) b ON b.cluster_id = a.cluster_id AND b.name <> a.name WHERE a.cluster_id IS NOT NULL GROUP BY a.name",
-)
+# peers come from the size of a cluster, not from pairs of its members
+_PEERS = "SELECT a.name, m.members - 1 AS peers FROM (SELECT name, {first} AS cluster_id FROM {symbols} GROUP BY name) a JOIN (SELECT cluster_id, count(DISTINCT name) AS members FROM {symbols} GROUP BY cluster_id) m ON m.cluster_id = a.cluster_id WHERE m.members > 1"
+sql_query("rep_cluster_peers", _PEERS.replace("{first}", "min_by(cluster_id, id)"), _PEERS.replace("{first}", "arg_min_null(cluster_id, id)").replace("{symbols}", "symbols"))
 sql_query("rep_architecture_areas", "SELECT split_part(f.path, '/', 4) AS repo, f.language, count(DISTINCT f.id) AS files, count(s.id) AS symbols, count(DISTINCT s.cluster_id) AS clusters FROM {files} f LEFT JOIN {symbols} s ON s.file_id = f.id WHERE f.path LIKE '/%' GROUP BY split_part(f.path, '/', 4), f.language")
 sql_query(
     "rep_trace_gaps",

@@ -26,14 +26,12 @@ def test_query(spark, con, name):
 
 
 def test_core_runs_without_the_llm_folder(monkeypatch):
-    import builtins
+    real = entry.importlib.import_module
 
-    real = builtins.__import__
-
-    def missing(name, *a, **k):
+    def without(name, *a):
         if name.startswith("graphloom.llm"):
             raise ModuleNotFoundError(name, name=name)
-        return real(name, *a, **k)
+        return real(name, *a)
 
-    monkeypatch.setattr(entry.importlib, "import_module", lambda n, *a: missing(n) if n.startswith("graphloom.llm") else __import__("importlib").import_module(n))
+    monkeypatch.setattr(entry.importlib, "import_module", without)
     assert set(entry.queries()) == set(NAMES)
