@@ -12,6 +12,7 @@ pseudonyms in all documents and nobody without the key can undo it; other values
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -295,14 +296,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
 # ---------------------------------------------------------------- pseudonyms
 def feistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int = 10) -> int:
     """A keyed permutation of 0 .. size-1: a Feistel network on a slightly larger square, walked until inside."""
-    side = 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(max(0, size - 1)) + 1
 
     def once(v: int) -> int:
         left, right = divmod(v, side)
         for r in range(rounds):
-            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, right, size) + tweak, key=key[:64], digest_size=8).digest()
+            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, right, size) + tweak, key=key[:64], digest_size=16).digest()
             left, right = right, (left + int.from_bytes(mixed, "big")) % side
         return left * side + right
 
@@ -314,14 +313,12 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int =
 
 def unfeistel(value: int, size: int, key: bytes, tweak: bytes = b"", rounds: int = 10) -> int:
     """The inverse of ``feistel``."""
-    side = 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(max(0, size - 1)) + 1
 
     def once(v: int) -> int:
         left, right = divmod(v, side)
         for r in reversed(range(rounds)):
-            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, left, size) + tweak, key=key[:64], digest_size=8).digest()
+            mixed = hashlib.blake2b(b"%d|%d|%d|" % (r, left, size) + tweak, key=key[:64], digest_size=16).digest()
             left, right = (right - int.from_bytes(mixed, "big")) % side, left
         return left * side + right
 
