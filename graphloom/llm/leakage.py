@@ -2,16 +2,17 @@
 
 1. Texts become words: lower case, without markup, escapes, entities and punctuation. A sentence that many items share (a
    standing instruction) is taken out of them.
-2. Documents are cut into overlapping passages. Over all passages the document frequencies of the items' words are
-   counted; a word of more than ``max_df`` of the passages has no weight, the others have tf-idf weights. Passages
-   without any weight have no direction and end here.
+2. Documents are cut into overlapping passages. Over the passages of all distinct texts the document frequencies of the
+   items' words are counted; a word of more than ``max_df`` of them has no weight, the others have tf-idf weights.
+   Passages without any weight have no direction; they go on if they hold a seed (step 5) or an answer of an item.
 3. A randomised SVD of passages and item windows: a random sketch, one power iteration and Rayleigh-Ritz, each a sum of
    small matrices over partitions (words x rank, whatever the size of the corpus).
 4. Every passage is compared with every item window by cosine in the latent space; pairs above a threshold, which is
    fitted to shortened and disturbed windows of the items themselves, are candidates. None are cut off.
-5. Candidates are aligned word by word: a leak has at least ``least`` consecutive item words, or the whole item, with at
-   most one word in ``tolerance`` changed, added or left out. Others may count as paraphrases by their longest common
-   subsequence and the item's answer.
+5. A leak has at least ``least`` consecutive item words, or the whole item, with at most one word in ``tolerance``
+   changed, added or left out. It always holds some words of the item in a row (a seed), so every passage is aligned word
+   by word with the items whose seeds it holds, whatever their weights. Other candidates may count as paraphrases by
+   their longest common subsequence and the item's answer; so may passages, or items with windows, that have no weight.
 
 Items are taken in blocks of ``block`` items, so that what is sent to the executors is bounded.
 """
@@ -119,14 +120,19 @@ def _reach(a: Sequence[str], b: Sequence[str], errors: int) -> list[int]:
     return out
 
 
+def seed_length(n: int, tolerance: int = 8, seed: int = 5) -> int:
+    """How many words in a row any leak of an item of n words holds: two halves of a short item may be too short for ``seed``."""
+    return min(seed, n if n < tolerance else n // 2)
+
+
 def aligned(item: Sequence[str], grams: dict[tuple[str, ...], list[int]], passage: Sequence[str], least: int = 12, tolerance: int = 8, seed: int = 5, errors: int = 4) -> bool:
     """Whether a passage holds the whole item or ``least`` consecutive words of it, one word in ``tolerance`` being off.
 
-    Such a span always holds ``seed`` words in a row; from each such place it is extended both ways.
+    Such a span always holds ``seed_length`` words in a row; from each such place it is extended both ways.
     """
     n, m = len(item), len(passage)
     need = min(least, n)
-    seed = min(seed, n)
+    seed = seed_length(n, tolerance, seed)
     done: set[tuple[int, int]] = set()
     for j in range(m - seed + 1):
         for i in grams.get(tuple(passage[j : j + seed]), ()):
@@ -178,6 +184,19 @@ def _sum_matrices(parts: DataFrame, shape: tuple[int, int], partitions: int) ->
     return sum((np.frombuffer(r["m"], np.float32).astype(np.float64) for r in rows), np.zeros(shape[0] * shape[1])).reshape(shape)
 
 
+def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n terms in a row."""
+    out = np.zeros(max(0, len(ids) - n + 1), np.int64)
+    for k in range(n):
+        out = out * 1_000_003 + ids[k : len(ids) - n + 1 + k]
+    return out
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted, non-empty ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _rows(ids: Sequence[Sequence[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of tf-idf rows of unit length; terms repeat as often as they occur."""
     sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
@@ -283,7 +302,7 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
         yield pd.DataFrame({"term": np.flatnonzero(total), "n": total[total > 0]})
 
     df = np.zeros(size + 1)
-    for r in corpus.select("t").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as words
+    for r in corpus.select("t").distinct().mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as words
         df[r["term"]] = r["n"]
     total = max(df[size], 1.0)
     own = [[vocabulary[w] for w in ws] for _, ws, _ in held]
@@ -291,6 +310,28 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
     idf[(df[:size] > max_df * total) & (df[:size] > 50)] = 0.0
     weighty = idf > 0
 
+    seeds: dict[tuple[str, ...], set[int]] = {}
+    grams = []
+    for k_item, (_, ws, _) in enumerate(held):
+        g: dict[tuple[str, ...], list[int]] = {}
+        n = seed_length(len(ws), tolerance)
+        for k in range(len(ws) - n + 1):
+            g.setdefault(tuple(ws[k : k + n]), []).append(k)
+            seeds.setdefault(tuple(ws[k : k + n]), set()).add(k_item)
+        grams.append(g)
+    lengths = sorted({len(x) for x in seeds})
+    # seeds as sorted hashes of their terms: what hits one is looked up exactly later
+    hashed = {n: np.unique(_hashes(np.array([[vocabulary[w] for w in x] for x in seeds if len(x) == n], np.int64).ravel(), n)[::n]) for n in lengths}
+    # items by one word of their answers
+    by_answer: dict[str, list[int]] = {}
+    for k_item, (_, _, answer) in enumerate(held):
+        if answer:
+            by_answer.setdefault(max(answer, key=len), []).append(k_item)
+    answer_words = [frozenset(answer) for _, _, answer in held]
+
+    def answered(present: set[str]) -> set[int]:
+        return {k for w in present if w in by_answer for k in by_answer[w] if present.issuperset(answer_words[k])}
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -298,21 +339,28 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                 words = words_of(t)
                 ids = np.array([get(w, -1) for w in words], np.int64)
                 good = (ids >= 0) & weighty[ids]
-                if not good.any():
+                hits = [(n, np.r_[0, np.cumsum(x)].tolist()) for n in lengths if (x := _among(_hashes(ids, n), hashed[n])).any()]
+                able = not by_answer.keys().isdisjoint(words)
+                if not (hits or able or good.any()):
                     continue
                 for lo, hi in windows(len(words), length, stride):
                     mine = ids[lo:hi][good[lo:hi]]
-                    if len(mine):
-                        rows.append((d, " ".join(words[max(0, lo - margin) : hi + margin]), mine.astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["d", "p", "ids"])
+                    if not (len(mine) or hits or able):
+                        continue
+                    a, b = max(0, lo - margin), min(len(words), hi + margin)
+                    seeded = any(b - a >= n and c[b - n + 1] > c[a] for n, c in hits)
+                    if seeded or len(mine) or (able and answered({*words[a:b]})):
+                        rows.append((d, " ".join(words[a:b]), mine.astype(np.int32).tobytes(), seeded))
+            yield pd.DataFrame(rows, columns=["d", "p", "ids", "seeded"])
 
-    passages = corpus.mapInPandas(cut, "d long, p string, ids binary").checkpoint()
+    passages = corpus.mapInPandas(cut, "d long, p string, ids binary, seeded boolean").checkpoint()
     partitions = max(1, passages.rdd.getNumPartitions())
 
     spans = [[ws[lo:hi] for lo, hi in windows(len(ws), 24, 8)] for ws in own]
     window_ids = [[t for t in w if weighty[t]] for per in spans for w in per]
     owner = np.array([k for k, per in enumerate(spans) for _ in per])
     keep = [k for k, w in enumerate(window_ids) if w]
+    faint = {int(owner[k]) for k, w in enumerate(window_ids) if not w}  # items with windows that have no direction
     window_ids, owner = [window_ids[k] for k in keep], owner[keep]
     rank = min(rank, size)
     irow, iterm, iw = _rows(window_ids, idf)
@@ -336,7 +384,7 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                     n += len(ids)
             yield pd.DataFrame({"m": [acc.astype(np.float32).tobytes()]})
 
-        total_part = _sum_matrices(passages.select("ids").mapInPandas(part, "m binary"), small.shape, partitions)
+        total_part = _sum_matrices(passages.where(F.length("ids") > 0).select("ids").mapInPandas(part, "m binary"), small.shape, partitions)
         mine = np.zeros(small.shape)
         starts = np.flatnonzero(np.r_[True, irow[1:] != irow[:-1]])
         z = np.add.reduceat(small[iterm] * iw[:, None], starts, axis=0)
@@ -374,16 +422,6 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
         threshold = float(max(0.05, 0.6 * np.quantile(best, 0.005)))
     else:
         threshold = 0.05
-    seeds: dict[tuple[str, ...], set[int]] = {}
-    grams = []
-    for k_item, (_, ws, _) in enumerate(held):
-        g: dict[tuple[str, ...], list[int]] = {}
-        n = min(5, len(ws))
-        for k in range(len(ws) - n + 1):
-            g.setdefault(tuple(ws[k : k + n]), []).append(k)
-            seeds.setdefault(tuple(ws[k : k + n]), set()).add(k_item)
-        grams.append(g)
-    lengths = sorted({len(x) for x in seeds})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -391,30 +429,31 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
             for lo in range(0, len(b), 1024):
                 part = b.iloc[lo : lo + 1024]
                 # passages with the same weighted words have the same direction
-                codes, bags = pd.factorize(part["ids"].map(lambda x: np.sort(np.frombuffer(x, np.int32)).tobytes()))
-                near = _unit(_latent([np.frombuffer(x, np.int32) for x in bags], idf, basis)) @ targets.T >= threshold
+                codes, bags = pd.factorize(part["ids"].map(lambda x: np.sort(np.frombuffer(x, np.int32)).tobytes() if x else b""))
+                near = _unit(_latent([np.frombuffer(x, np.int32) if x else () for x in bags], idf, basis)) @ targets.T >= threshold
                 bag, win = np.nonzero(near)
                 pairs = np.unique(bag * len(held) + owner[win])
                 of_bag = np.split(pairs % len(held), np.searchsorted(pairs // len(held), np.arange(1, len(bags)))) if len(bags) else []
-                texts, numbers = part["p"].tolist(), part["d"].tolist()
+                texts, numbers, marks = part["p"].tolist(), part["d"].tolist(), part["seeded"].tolist()
                 for k, c in enumerate(codes.tolist()):
-                    wanted = of_bag[c]
-                    if not len(wanted):
+                    if not (len(of_bag[c]) or marks[k] or faint or not bags[c]):
                         continue
                     passage = texts[k].split(" ")
                     seeded: set[int] = set()
-                    for n in lengths:
+                    for n in lengths if marks[k] else ():
                         for g in zip(*(passage[x:] for x in range(n))):
                             if g in seeds:
                                 seeded |= seeds[g]
-                    present = {*passage}
-                    for item in wanted.tolist():
-                        name, ws, answer = held[item]
-                        if (name, numbers[k], "passage") in rows or not (item in seeded or (answer and present.issuperset(answer))):
+                    able = answered({*passage})
+                    # without a direction the answers alone say what to compare
+                    able &= {*of_bag[c].tolist(), *faint, *seeded} if bags[c] else able
+                    for item in sorted(seeded | able):
+                        name, ws, _ = held[item]
+                        if (name, numbers[k], "passage") in rows:
                             continue
                         if item in seeded and aligned(ws, grams[item], passage, least, tolerance):
                             rows.add((name, numbers[k], "passage"))
-                        elif answer and present.issuperset(answer) and common_share(ws, passage) >= 0.6:
+                        elif item in able and common_share(ws, passage) >= 0.6:
                             rows.add((name, numbers[k], "paraphrase"))
             yield pd.DataFrame(sorted(rows), columns=["item_id", "doc_id", "kind"])
 

@@ -211,6 +211,24 @@ def test_leaks(spark):
     assert leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items.limit(0)).isEmpty()
 
 
+def test_leaks_in_a_hot_group_and_of_frequent_words(spark):
+    rng = random.Random(9)
+    own = [" ".join(f"{w}{i}" for w in "oak elm ash fir yew bay fig box gum nut may sal tea".split()) for i in range(12)]
+    frequent = "the queue waits for rows and then the worker stops at noon"
+    cut_short = "red kite over one quiet north hill tonight"  # eight words, halved by an added one
+    items = spark.createDataFrame([(i, t, [f"sym{i}"]) for i, t in enumerate([*own, frequent, cut_short])], "item_id long, text string, expected_symbols array<string>")
+    filler = lambda: " ".join(rng.choice("the queue waits for rows and then worker stops at noon".split()) for _ in range(200))
+    docs = [(i, f"{own[0]} end{i}") for i in range(120)]  # copies but for the end
+    docs += [(i, own[1]) for i in range(200, 320)]  # exact copies
+    docs += [(i, filler()) for i in range(400, 440)] + [(500, frequent + " x " + filler()), (501, own[2]), (502, "red kite over one quite quiet north hill tonight"), (503, "red kite over one or quiet north hill tonight")]
+    mixed = own[3].split()  # every third word left out, and the answer
+    docs += [(i, " ".join(w for k, w in enumerate(mixed) if k % 3) + " sym3") for i in range(600, 720)]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    passages = {(r["item_id"], r["doc_id"]) for r in got if r["kind"] == "passage"}
+    assert {(0, i) for i in range(120)} | {(1, i) for i in range(200, 320)} | {(12, 500), (2, 501), (13, 503)} <= passages
+    assert {(3, i) for i in range(600, 720)} == {(r["item_id"], r["doc_id"]) for r in got if r["kind"] == "paraphrase"}
+
+
 # ---------------------------------------------------------------- personal information
 def found(t):
     return {(t[s:e], k) for s, e, k in pii.find(t)}
