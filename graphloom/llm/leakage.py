@@ -1,7 +1,7 @@
 """Evaluation texts that leaked into a corpus, by latent semantic retrieval and alignment.
 
-1. Texts become words: lower case, without markup, escapes, entities and punctuation. A sentence that many items share (a
-   standing instruction) is taken out of them.
+1. Texts become words: lower case, without markup, escapes, entities and punctuation. A sentence with which many distinct
+   items begin, to go on differently (a standing instruction), is taken out of them.
 2. Documents are cut into overlapping passages. Over the passages of all distinct texts the document frequencies of the
    items' words are counted; a word of more than ``max_df`` of them has no weight, the others have tf-idf weights.
    Passages without any weight have no direction; they go on if they hold a seed (step 5) or an answer of an item.
@@ -22,7 +22,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -64,22 +63,32 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def standing_sentences(texts: Sequence[str], share: float = 0.02, least: int = 3) -> set[tuple[str, ...]]:
-    """Sentences, as words, that stand in at least ``share`` of the texts and in ``least`` of them."""
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update({w for s in re.split(r"(?<=[.!?:])\s+|\n+", t) if len(w := tuple(words_of(s))) >= 4})
-    return {w for w, n in seen.items() if n >= max(least, share * len(texts))}
+def _sentences(text: str) -> list[tuple[str, ...]]:
+    return [w for s in re.split(r"(?<=[.!?:])\s+|\n+", text) if (w := tuple(words_of(s)))]
+
+
+def standing_sentences(texts: DataFrame, share: float = 0.02, least: int = 3) -> set[tuple[str, ...]]:
+    """Sentences, as words, with which at least ``share`` of the distinct texts, and ``least`` of them, begin and go on differently.
+
+    ``texts`` has a column ``t``. Copies count once, and so do texts that are the same as far as the next sentence.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cut = [[" ".join(w) for w in s] for t in b["t"] if (s := _sentences(t))]
+            yield pd.DataFrame([(s[0], s[1] if len(s) > 1 else None, " ".join(s[1:])) for s in cut], columns=["first", "then", "rest"])
+
+    known = texts.select("t").mapInPandas(run, "first string, then string, rest string").distinct()
+    counts = known.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("then").alias("ways"))
+    common = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).where(F.col("ways") >= F.greatest(F.lit(least), share * F.col("all")))
+    return {w for r in common.select("first").collect() if len(w := tuple(r["first"].split(" "))) >= 4}  # at most 1 / share, or a least-th of few texts
 
 
 def item_words(text: str, standing: set[tuple[str, ...]]) -> list[str]:
-    """The words of an item without standing sentences."""
-    out: list[str] = []
-    for s in re.split(r"(?<=[.!?:])\s+|\n+", text):
-        w = words_of(s)
-        if tuple(w) not in standing:
-            out += w
-    return out
+    """The words of an item without the standing sentence it begins with, if there is more to it."""
+    sentences = _sentences(text)
+    skip = 1 if len(sentences) > 1 and sentences[0] in standing else 0
+    return [w for s in sentences[skip:] for w in s]
 
 
 def windows(n: int, length: int, stride: int) -> list[tuple[int, int]]:
@@ -192,9 +201,15 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted, non-empty ``known``."""
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+def _hits(ids: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """At which places n terms in a row have a hash in the sorted, non-empty ``known``; -1 is no term."""
+    out = np.zeros(max(0, len(ids) - n + 1), bool)
+    at = np.flatnonzero(ids >= 0)
+    at = at[: max(0, len(at) - n + 1)][at[n - 1 :] - at[: max(0, len(at) - n + 1)] == n - 1]
+    if len(at):
+        x = _hashes(ids, n)[at]
+        out[at] = known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    return out
 
 
 def _rows(ids: Sequence[Sequence[int]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,16 +248,14 @@ def leaks(
     """Rows (item_id, doc_id, kind): kind ``passage`` where a document holds an item as ``aligned`` says, ``paraphrase``
     where only the longest common subsequence and all the item's answers speak for it.
 
-    Documents and items of null or empty text, and items that consist of standing sentences only, give no rows. Items
-    that repeat under several ids come out under each. One row for each pair and kind.
+    Documents and items of null or empty text give no rows; an item that is nothing but a standing sentence keeps it.
+    Items that repeat under several ids come out under each. One row for each pair and kind.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     cols = [F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t"), *([F.col(f"`{answers}`").alias("a")] if answers else [])]
     known = items.where(F.length(item_text) > 0).select(*cols)
-    # the standing sentences are those of a bounded number of items, the first by id
-    texts = [r["t"] for r in known.orderBy("i").limit(block).select("t").collect()]
-    standing = standing_sentences(texts)
+    standing = standing_sentences(known)
     corpus = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{doc_text}`").alias("t")).where(F.length("t") > 0)
     out, held = None, []
 
@@ -339,7 +352,7 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                 words = words_of(t)
                 ids = np.array([get(w, -1) for w in words], np.int64)
                 good = (ids >= 0) & weighty[ids]
-                hits = [(n, np.r_[0, np.cumsum(x)].tolist()) for n in lengths if (x := _among(_hashes(ids, n), hashed[n])).any()]
+                hits = [(n, np.r_[0, np.cumsum(x)].tolist()) for n in lengths if (x := _hits(ids, n, hashed[n])).any()]
                 able = not by_answer.keys().isdisjoint(words)
                 if not (hits or able or good.any()):
                     continue
@@ -439,6 +452,8 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                     if not (len(of_bag[c]) or marks[k] or faint or not bags[c]):
                         continue
                     passage = texts[k].split(" ")
+                    if not marks[k] and by_answer.keys().isdisjoint(passage):
+                        continue
                     seeded: set[int] = set()
                     for n in lengths if marks[k] else ():
                         for g in zip(*(passage[x:] for x in range(n))):

@@ -229,6 +229,18 @@ def test_leaks_in_a_hot_group_and_of_frequent_words(spark):
     assert {(3, i) for i in range(600, 720)} == {(r["item_id"], r["doc_id"]) for r in got if r["kind"] == "paraphrase"}
 
 
+def test_repeated_items_and_shared_sentences_are_no_standing_instruction(spark):
+    standing = "Answer the question below in one short line and name your evidence."
+    own = [" ".join(f"{w}{i}" for w in "oak elm ash fir yew bay fig box gum nut may sal tea".split()) + "." for i in range(30)]
+    shared = "The worker keeps its lease until the queue is empty and the snapshot of the index is complete."
+    rows = [(i, f"{standing} {t} {shared if i < 8 else ''}") for i, t in enumerate(own)]
+    rows += [(i, "The red kite turns over one quiet north hill before the rain comes down.") for i in range(100, 120)] + [(130, standing)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = [(1, own[3]), (2, rows[30][1]), (3, shared), (4, standing + " " + own[29])]
+    got = {(r["item_id"], r["doc_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, answers=None, block=20).collect()}
+    assert got == {(3, 1), (29, 4), (130, 4)} | {(i, 2) for i in range(100, 120)} | {(i, 3) for i in range(8)}
+
+
 # ---------------------------------------------------------------- personal information
 def found(t):
     return {(t[s:e], k) for s, e, k in pii.find(t)}
