@@ -92,7 +92,7 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personalised PageRank around the most referenced name."""
     e, s = table(spark, sf_dir, "edges"), table(spark, sf_dir, "symbols")
-    return G.pagerank(G.adjacency(e), seed(e, s), rounds=10).select("name", F.round("score", 9).alias("score"))
+    return G.pagerank(G.adjacency(e), seed(e, s)).select("name", F.round("score", 9).alias("score"))
 
 
 @query("graph_trace")

@@ -77,6 +77,24 @@ def test_pagerank_star(spark):
     assert abs(sum(got.values()) - 1) < 1e-6 and got["hub"] > got["leaf0"]
 
 
+def test_registered_pagerank_runs_to_its_tolerance(spark, tmp_path):
+    import numpy as np
+
+    from graphloom.plans import graph as queries
+
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "b"), ("e", "b")]
+    spark.createDataFrame([(x, y, "call") for x, y in links], "source_name string, target_name string, kind string").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(x,) for x in "abcde"], "name string").write.parquet(f"{tmp_path}/symbols.parquet")
+    got = {r["name"]: r["score"] for r in queries.pagerank(spark, str(tmp_path)).collect()}
+    m, start = np.zeros((5, 5)), np.eye(5)[1]  # b is referenced most
+    for x, y in links:
+        m["abcde".index(y), "abcde".index(x)] = 1 / sum(x == a for a, _ in links)
+    want = start
+    for _ in range(30):
+        want = 0.85 * m @ want + 0.15 * start
+    assert all(abs(got[n] - want["abcde".index(n)]) < 1e-6 for n in "abcde")
+
+
 def test_key_profile_awkward_rows(spark):
     rows = [("a", "x", 1, 0), ("a", "x", 1, 0), ("a", None, 2, 0), (None, "y", None, 0), ("", "y", 3, 0), ("b", None, None, 0)]
     df = spark.createDataFrame(rows, "k string, v string, n int, `value` int")  # ``value`` clashes with a name used inside
