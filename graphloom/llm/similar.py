@@ -2,16 +2,18 @@
 
 1. Exact copies of a vector can only be told apart by id, so only the k+1 smallest ids of each copy class (its heads)
    take part as candidates; every further copy is answered by the first k heads of its own class.
-2. Heads are routed: each goes to the ``routes`` cells whose pivot it projects on most. Pivots are a bounded sample of
-   the vectors (``max_pivots`` a group at most), all heads are indexed. A cell of more than ``max_cell`` heads is split
-   by a second routing of what is left of its vectors beside the pivot.
+2. Heads are routed: each goes to the cells whose pivot it projects on most, ``routes`` of them and more the more pivots
+   there are (``routes_among``), so that recall does not fall with size. Pivots are a bounded sample of the vectors
+   (``max_pivots`` a group at most), all heads are indexed. A cell of more than ``max_cell`` heads is split by a second
+   routing of what is left of its vectors beside the pivot.
 3. In a cell, every vector is projected on ``projections`` random lines and each line's values are sorted. A query
    centres a window on its own value in each sorted array; the window is widened by virtual rehashing from one radius
    to the next until the query has k neighbours inside the radius or the last radius, that of ``min_similarity``, is
    done. Vectors that share at least ``collisions`` windows with it are verified by their exact cosine.
 4. A vector's candidates from its cells are merged, best first, ties by smaller id.
 
-Shuffled are the heads once to be grouped by copies (combined before), ``routes`` times to the cells, and then only ids.
+Shuffled are the heads once for each cell they are routed to, and beside that only ids and hashes, unless very many copy
+classes have more than k members.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.registry import shared_dir
+
 WIDTH = 1.5  # half a window, in radii: a pair at the radius shares 87 % of the windows
 
 
@@ -47,6 +51,11 @@ def _top(p: np.ndarray, r: int) -> np.ndarray:
     return np.argpartition(-p, r - 1, axis=1)[:, :r] if r < p.shape[1] else np.tile(np.arange(p.shape[1]), (len(p), 1))
 
 
+def routes_among(pivots: int, routes: int) -> int:
+    """How many of so many pivots a vector goes to: one more than ``routes`` from 128 on, and for each fourfold of that."""
+    return routes + max(0, (max(pivots, 1) // 32).bit_length() - 1) // 2
+
+
 def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[tuple[str, int, int], int], seed: int, with_vectors: bool):
     """A mapInArrow function: each row once for each cell it is routed to."""
 
@@ -58,14 +67,14 @@ def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[t
                 at = np.flatnonzero((names == key[0]) & (dims == key[1]))
                 rows = batch.take(pa.array(at))
                 x, piv = _unit(rows.column("vec"), key[1]), pivots[key]
-                cells = _top(x @ piv.T, routes)
+                cells = _top(x @ piv.T, routes_among(len(piv), routes))
                 at = np.repeat(np.arange(len(x)), cells.shape[1])
                 cell, sub = cells.ravel(), np.zeros(cells.size, np.int64)
                 for c in {c for c in np.unique(cell).tolist() if (*key, c) in split}:
                     mine = np.flatnonzero(cell == c)
                     rest = x[at[mine]] - np.outer(x[at[mine]] @ piv[c], piv[c]) / float(piv[c] @ piv[c])
                     lines = np.random.default_rng([seed, c]).standard_normal((key[1], split[(*key, c)]), dtype=np.float32)
-                    more = _top(rest @ lines, routes)
+                    more = _top(rest @ lines, routes_among(lines.shape[1], routes))
                     sub[mine] = more[:, 0]
                     at, cell = np.append(at, np.repeat(at[mine], more.shape[1] - 1)), np.append(cell, np.full(mine.size * (more.shape[1] - 1), c))
                     sub = np.append(sub, more[:, 1:].ravel())
@@ -156,13 +165,17 @@ def similar_vectors(
             mine[r["id"]] = r["vec"]
     pivots = {g: _unit(pa.array(list(drawn[g].values()), pa.list_(pa.float32())), g[1]) if drawn.get(g) else np.eye(1, g[1], dtype=np.float32) for g in sizes}
 
+    shared_dir(spark)
     copies = Window.partitionBy("grp", "dim", "copy").orderBy("id")
     keyed = rows.withColumn("copy", F.xxhash64("vec"))
-    heads = keyed.withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1)
+    first = keyed.select("grp", "dim", "copy", "id").distinct().withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1)
+    full = first.groupBy("grp", "dim", "copy").agg(F.array_sort(F.collect_set("id")).alias("h")).where(F.size("h") > k).checkpoint()
+    lasts = full.select("grp", "dim", "copy", F.element_at("h", -1).alias("last"))
+    heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "copy"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
     plan = "grp string, dim int, cell int, sub int"
     crowded = rows.mapInArrow(router(pivots, routes, {}, seed, False), plan).groupBy("grp", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell)
     split = {(r["grp"], r["dim"], r["cell"]): -(-r["n"] // per_pivot) for r in crowded.collect()}  # at most routes / max_cell of the rows
-    cells = heads.select("grp", "dim", "id", "vec").mapInArrow(router(pivots, routes, split, seed, True), plan + ", id long, unit binary")
+    cells = heads.mapInArrow(router(pivots, routes, split, seed, True), plan + ", id long, unit binary")
 
     def search(t: pa.Table) -> pa.Table:
         ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
@@ -173,7 +186,6 @@ def similar_vectors(
     near = cells.groupBy("grp", "dim", "cell", "sub").applyInArrow(search, schema)
     best = near.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k).alias("b"))
     own = best.select("grp", "id", F.explode("b").alias("b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
-    full = heads.groupBy("grp", "dim", "copy").agg(F.array_sort(F.collect_set("id")).alias("h")).where(F.size("h") > k)
     rest = keyed.select("grp", "dim", "copy", "id").join(full, ["grp", "dim", "copy"]).where(F.col("id") > F.element_at("h", -1)).distinct()
     tails = rest.select("grp", "id", F.explode(F.slice("h", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity"))
     return own.unionByName(tails)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from graphloom.llm.similar import collide, similar_pairs, similar_vectors
+from graphloom.llm.similar import collide, routes_among, similar_pairs, similar_vectors
 
 SCHEMA = "symbol_id long, model string, dim int, vector array<float>, id string"  # ``id`` clashes with a name used inside
 
@@ -65,3 +65,13 @@ def test_many_copies_are_linked_to_their_first(spark):
     got = {tuple(r) for r in similar_pairs(similar_vectors(spark.createDataFrame(rows, SCHEMA), "symbol_id", "model", "vector", "dim", k=3)).collect()}
     assert {(0, 29), (1, 29), (2, 29), (0, 1), (0, 3), (0, 100), (1, 100), (2, 100)} <= got
     assert (3, 29) not in got and len(got) == 3 + 27 * 3 + 3
+
+
+def test_routes_keep_recall_as_pivots_grow(spark):
+    assert [routes_among(n, 3) for n in (1, 26, 127, 128, 511, 512, 2600, 8192)] == [3, 3, 3, 4, 4, 5, 6, 7]
+    rng = np.random.default_rng(8)
+    x = clusters(rng, 500, 8, 48)
+    df = spark.createDataFrame([(i, "m", 48, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", per_pivot=4, projections=1, collisions=0)).collect()}
+    want = brute(np.arange(len(x)), x, 5, 0.75)
+    assert len(got & want) / len(want) >= 0.97
