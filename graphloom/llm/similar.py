@@ -5,7 +5,7 @@
 2. Heads are routed: each goes to the cells whose pivot it projects on most, ``routes`` of them and more the more pivots
    there are (``routes_among``), so that recall does not fall with size. Pivots are a bounded sample of the vectors
    (``max_pivots`` a group at most), all heads are indexed. A cell of more than ``max_cell`` heads is split by a second
-   routing of what is left of its vectors beside the pivot.
+   routing of what is left of its vectors beside the pivot, among pivots drawn from its own heads.
 3. In a cell, every vector is projected on ``projections`` random lines and each line's values are sorted. A query
    centres a window on its own value in each sorted array; the window is widened by virtual rehashing from one radius
    to the next until the query has k neighbours inside the radius or the last radius, that of ``min_similarity``, is
@@ -47,6 +47,10 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _beside(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    return x - np.outer(x @ pivot, pivot) / float(pivot @ pivot)
+
+
 def _top(p: np.ndarray, r: int) -> np.ndarray:
     return np.argpartition(-p, r - 1, axis=1)[:, :r] if r < p.shape[1] else np.tile(np.arange(p.shape[1]), (len(p), 1))
 
@@ -56,7 +60,7 @@ def routes_among(pivots: int, routes: int) -> int:
     return routes + max(0, (max(pivots, 1) // 32).bit_length() - 1) // 2
 
 
-def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[tuple[str, int, int], int], seed: int, with_vectors: bool):
+def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[tuple[str, int, int], np.ndarray], with_vectors: bool):
     """A mapInArrow function: each row once for each cell it is routed to."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +76,9 @@ def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[t
                 cell, sub = cells.ravel(), np.zeros(cells.size, np.int64)
                 for c in {c for c in np.unique(cell).tolist() if (*key, c) in split}:
                     mine = np.flatnonzero(cell == c)
-                    rest = x[at[mine]] - np.outer(x[at[mine]] @ piv[c], piv[c]) / float(piv[c] @ piv[c])
-                    lines = np.random.default_rng([seed, c]).standard_normal((key[1], split[(*key, c)]), dtype=np.float32)
-                    more = _top(rest @ lines, routes_among(lines.shape[1], routes))
+                    lines = _beside(split[(*key, c)], piv[c])
+                    lines /= np.maximum(np.linalg.norm(lines, axis=1, keepdims=True), 1e-6)
+                    more = _top(_beside(x[at[mine]], piv[c]) @ lines.T, routes_among(len(lines), routes))
                     sub[mine] = more[:, 0]
                     at, cell = np.append(at, np.repeat(at[mine], more.shape[1] - 1)), np.append(cell, np.full(mine.size * (more.shape[1] - 1), c))
                     sub = np.append(sub, more[:, 1:].ravel())
@@ -173,9 +177,18 @@ def similar_vectors(
     lasts = full.select("grp", "dim", "copy", F.element_at("h", -1).alias("last"))
     heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "copy"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
     plan = "grp string, dim int, cell int, sub int"
-    crowded = rows.mapInArrow(router(pivots, routes, {}, seed, False), plan).groupBy("grp", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell)
-    split = {(r["grp"], r["dim"], r["cell"]): -(-r["n"] // per_pivot) for r in crowded.collect()}  # at most routes / max_cell of the rows
-    cells = heads.mapInArrow(router(pivots, routes, split, seed, True), plan + ", id long, unit binary")
+    crowded = heads.mapInArrow(router(pivots, routes, {}, False), plan).groupBy("grp", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell)
+    crowds = {(r["grp"], r["dim"], r["cell"]): min(max_pivots, -(-r["n"] // per_pivot)) / r["n"] for r in crowded.collect()}  # at most routes / max_cell of the heads
+    split: dict[tuple[str, int, int], np.ndarray] = {}
+    if crowds:
+        shares = spark.createDataFrame([(*c, share) for c, share in crowds.items()], "grp string, dim int, cell int, share double")
+        inside = heads.mapInArrow(router(pivots, routes, {}, True), plan + ", id long, unit binary").join(F.broadcast(shares), ["grp", "dim", "cell"])
+        own_lot = F.pmod(F.xxhash64("id", "cell", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+        sample: dict[tuple[str, int, int], list[bytes]] = {}
+        for r in inside.where(own_lot < F.col("share")).orderBy("grp", "dim", "cell", "id").toLocalIterator():
+            sample.setdefault((r["grp"], r["dim"], r["cell"]), []).append(bytes(r["unit"]))
+        split = {c: np.frombuffer(b"".join(v), np.float32).reshape(-1, c[1]) for c, v in sample.items()}
+    cells = heads.mapInArrow(router(pivots, routes, split, True), plan + ", id long, unit binary")
 
     def search(t: pa.Table) -> pa.Table:
         ids, at = np.unique(t.column("id").to_numpy(), return_index=True)

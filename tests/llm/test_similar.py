@@ -75,3 +75,20 @@ def test_routes_keep_recall_as_pivots_grow(spark):
     got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", per_pivot=4, projections=1, collisions=0)).collect()}
     want = brute(np.arange(len(x)), x, 5, 0.75)
     assert len(got & want) / len(want) >= 0.97
+
+
+def test_copies_do_not_crowd_a_cell(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([clusters(rng, 60, 8, 48), np.tile(clusters(rng, 1, 1, 48), (1200, 1))])
+    df = spark.createDataFrame([(i, "m", 48, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", routes=1, per_pivot=8, max_pivots=1, max_cell=600, projections=1, collisions=0)).collect()}
+    assert {p for p in got if max(p) < 480} == brute(np.arange(480), x[:480], 5, 0.75)
+
+
+def test_real_crowds_are_split_by_their_own_vectors(spark):
+    rng = np.random.default_rng(10)
+    x = clusters(rng, 200, 8, 48)
+    df = spark.createDataFrame([(i, "m", 48, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", per_pivot=10, max_pivots=160, routes=3, max_cell=20, projections=1, collisions=0)).collect()}
+    want = brute(np.arange(len(x)), x, 5, 0.75)
+    assert len(got & want) / len(want) >= 0.9
