@@ -211,6 +211,24 @@ file = stmt*
 """,
 }
 GRAMMARS["typescript"] = GRAMMARS["javascript"]
+# without types, generics, optional marks, assertions and modifiers; ``as`` (AS) only renames
+GRAMMARS["javascript"] = _COMMON + """
+body = (part COMMA?)*
+part = stmt | member
+pun = COMMA | SEMI | COLON
+elem = expr | VAR expr
+expr = un (op un)*
+op = BIN | ADD | STAR | LT | GT | ASG | EQ | Q | COLON | ARROW | COMMA | INOP | MOD | AS | EXT | LT GT
+un = (ADD | NOT | INC | UNK | NEW | ELL | MOD | AT paren? | STAR | LT)* prim post*
+prim = name | NUM | STR | paren | brack | brace | func | class
+name = ID | MOD | AS | DEF | UNK
+word = name | NEW | FUNC | CLASS | VAR | IF | DO | ELSE | TRY | FIN | CATCH | RET | BRK | CASE | IMP | EXP | EXT | INOP
+post = INC | DOT word | DOT paren | DOT brack | paren | brack | STR
+func = MOD* FUNC STAR? name? paren brace
+class = CLASS name? (EXT expr)? brace
+member = (MOD | AT paren? | STAR)* (word | STR | NUM | brack) (paren | COLON expr | EQ expr)* (brace | SEMI)?
+stmt = expr SEMI? | VAR list SEMI? | VAR UNK list SEMI? | IF MOD? paren stmt | IF UNK paren stmt | DO stmt | ELSE stmt | TRY brace | CATCH paren? brace | FIN brace | RET expr? SEMI? | BRK ID? SEMI? | CASE expr COLON | DEF COLON | func | class | brace | SEMI | name COLON stmt | AT paren? stmt | IMP list? MOD? STR SEMI? | IMP STAR AS name MOD STR SEMI? | IMP brace MOD STR SEMI? | IMP paren post* SEMI? | IMP DOT word post* | IMP STR (ID brace)? | EXP (VAR list SEMI? | func | class | DEF (expr | func | class) SEMI? | STAR (AS (name | STR))? MOD STR SEMI? | brace (MOD STR)? SEMI? | AT paren? stmt)
+"""
 
 
 @lru_cache(maxsize=None)
@@ -252,6 +270,7 @@ KEYWORDS = {
     "python": _table(DEF="def", CLASS="class", IF="if elif", ELSE="else", WHILE="while", FOR="for", TRY="try", EXCEPT="except", FIN="finally", WITH="with", RET="return", RAISE="raise", BRK="break continue pass", IMP="import", FROM="from", ASSERT="assert", DEL="del", GLOBAL="global nonlocal", LAMBDA="lambda", NOT="not", INOP="in is and or", AS="as", ASYNC="async", UNK="await yield", SOFT="match case type"),
 }
 KEYWORDS["typescript"] = KEYWORDS["javascript"]
+KEYWORDS["javascript"] = {w: k for w, k in KEYWORDS["typescript"].items() if k != "MOD"} | _table(MOD="async of get set static from accessor", AS="as")
 _OPEN = {"(": "LP", "[": "LB", "{": "LC", ")": "RP", "]": "RB", "}": "RC", ";": "SEMI", ",": "COMMA", ".": "DOT", "...": "ELL", ":": "COLON", "?": "Q", "@": "AT"}
 OPERATORS = {
     "javascript": _OPEN | {"?.": "DOT", "=>": "ARROW", "=": "EQ", "<": "LT", ">": "GT", "+": "ADD", "-": "ADD", "*": "STAR", "++": "INC", "--": "INC", "!": "NOT", "~": "NOT"},
@@ -289,7 +308,7 @@ _LEX = {k: re.compile(rf"{v}|(?P<op>{_PUNCT[k]})|(?P<odd>[\s\S])", re.M) for k,
 _LEX["typescript"] = _LEX["javascript"]
 DIRECTIVES = frozenset("include define undef if ifdef ifndef elif else endif pragma error warning line import elifdef elifndef embed".split())
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-_AFTER_OPERAND = frozenset("ID NUM STR RP RB RC INC MOD".split())
+_AFTER_OPERAND = frozenset("ID NUM STR RP RB RC INC MOD AS".split())
 _GO_ENDS = frozenset("ID NUM STR RP RB RC INC RET BRK".split())
 
 

@@ -24,6 +24,11 @@ NO_PRODUCTION = (
     ("c java rust", "end", r"\S"),
     ("javascript typescript", "end", r"(^| )(FUNC|CLASS|TRY|FIN|CATCH|DO|ELSE)( |$)|^(EXP )?IMP (?!(.* )?STR$|LP |DOT )|^EXP$|^(EXP )?MOD ID$|^(EXP )?MOD (MOD|FUNC|VAR)( ID)?$|^IF LP((?!RP).)*$|^IF LP [^;]*RP$"),
     ("javascript typescript", "any", r"^IMP ID( (?!(MOD|COMMA|EQ) ).*)?$"),
+    # what only TypeScript has: a colon in round brackets without a question mark before it, types of variables and results,
+    # type parameters, types of arrays, assertions, and exports of declarations that are none
+    ("javascript", "any", r"(^| )LP ((?!LP |RP |Q |LC |CASE )\S+ )*COLON( |$)|(^| )VAR ID COLON( |$)|(^| )(CLASS|FUNC) ID LT( |$)|(^| )ID LB RB( |$)|^EXP ID( |$)"),
+    ("javascript", "any", r"^(?!(.* )?(Q|CASE) ).*RP COLON (ID|UNK)( DOT ID)*( LT .*GT)?( LB RB)* (LC|ARROW)( |$)"),
+    ("javascript", "any", r"^(?!IMP |EXP |(?:(?:ID|STR|DEF|MOD|AS)(?: AS (?:ID|STR|DEF|MOD|AS))?(?: COMMA)? )+RC( |$))(.* )?(ID|NUM|STR|RP|RB|RC) AS (ID|STR|UNK|LC|LB|VAR)( |$)"),
     ("java", "top", r"^(?!ANN( |$)|MODS( |$)|CLASS |ENUM |PKG |IMP |ID ID (LP|LT) |ID CLASS |SEMI$|RC$|EOF$).+"),
     ("go", "top", r"^(?!PKG |IMP |FUNC |TYPE |VAR |SEMI$|RC$|LC( |$)|LP |RP |DOT |COMMA ).+|^FUNC (LP [^;]* RP )?ID( LB .* RB)? SEMI$"),
     ("c", "top", r"^(?!TY( |$)|STRUCT( |$)|TYPEDEF |ID( |$)|STAR |COMMA |EQ |LP |SEMI$|RC( |$)|STR ).+"),

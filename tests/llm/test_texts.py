@@ -163,6 +163,25 @@ def test_pairs_and_inheritance(spark):
     assert set(got) == {3, 4} and got[4][1] == "Base" and got[3][0].startswith("Waits until")
 
 
+def test_typescript_is_no_javascript(spark):
+    typed = [
+        "interface Row {\n  id;\n}\n", "class A {\n  private size() { return 1; }\n}\n", "const f = (a: string) => a;\n", "function f(a, b: number) { return a; }\n", "const n: number = 1;\n",
+        "class A {\n  size(): number { return 1; }\n}\n", "class A<T> { }\n", "function f<T>(a) { return a; }\n", "enum E { A, B }\n", "let x = y as Row;\n", "let x = y!.z;\n", "function f(a?) { return a; }\n",
+        "declare const a;\n", "abstract class A { }\n", "class A implements B { }\n", "type A = B;\n", "let x = (y as Row[]);\n", "class A { readonly b = 1; }\n", "function f(a?: string[]): void { }\n",
+    ]
+    plain = [
+        "import a, { b as c, default as d } from './x.js';\nimport * as ns from 'y';\nexport { c as e, d };\nexport * as z from 'z';\nexport * from 'w';\nexport default class { }\n",
+        "const o = { a: 1, 'b': 2, [c]: d ? e : f, get g() { return 1; }, async h() { await i; }, set j(v) { }, async *k() { yield 1; }, type: 2, as: 3, of, ...p };\n",
+        "class A extends B {\n  static x = 1;\n  #y;\n  static { init(); }\n  static async z(a, { b: c } = {}, [d] = []) { return a?.b ?? (c ? d : f(c)); }\n}\n",
+        "for (const x of y) { if (a < b && c > (d)) continue; }\nfor await (const x of y()) g(x);\nouter: for (;;) { break outer; }\nswitch (f(x)) { case (1): { break; } default: g(); }\n",
+        "const type = 1, as = 2, of = 3, namespace = 4, readonly = 5, declare = 6, module = 7;\nmodule.exports = { type, as };\nas = type ? f() : g;\nconst h = a ? (b) : (c) => d;\nlet k = [], l = async x => x, m = async (x) => { };\n",
+        "async function f() { return await g(); }\nexport async function h() { }\nexport const q = 1, r = () => { };\nx = a ? function () { } : b;\nif (!a) delete b.c;\nlet t = `a${b}`, u = /x:[y]/g.test(v);\ny = x\n  ? f(a)\n  : g\n",
+    ]
+    rows = [(i, "javascript", t) for i, t in enumerate(typed)] + [(100 + i, "typescript", t) for i, t in enumerate(typed)] + [(200 + i, "javascript", t) for i, t in enumerate(plain)]
+    got = {r["id"] for r in parse.syntax_errors(spark.createDataFrame(rows, "id long, language string, text string")).collect()}
+    assert got == set(range(len(typed)))
+
+
 # ---------------------------------------------------------------- leakage
 def test_words_survive_markup_and_escapes():
     want = "the red fox jumps".split()
