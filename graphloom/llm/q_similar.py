@@ -18,6 +18,6 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_neighbours")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar vectors of every vector, with their cosine."""
-    near = similar_vectors(table(spark, sf_dir, "symbol_vectors"), "symbol_id", "model", "vector", "dim")
+    """The 5 most similar vectors of every vector, however similar, with their cosine."""
+    near = similar_vectors(table(spark, sf_dir, "symbol_vectors"), "symbol_id", "model", "vector", "dim", min_similarity=None)
     return near.select(F.col("grp").alias("model"), F.col("id").alias("symbol_id"), "neighbour", F.round("similarity", 6).alias("similarity"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.registry import shared_dir
 
+WIDEN = 0.75  # the similarity of the last radius where none is asked for
 WIDTH = 1.5  # half a window, in radii: a pair at the radius shares 87 % of the windows
 
 
@@ -94,9 +95,25 @@ def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[t
     return route
 
 
-def collide(ids: np.ndarray, x: np.ndarray, k: int, min_similarity: float, projections: int, collisions: int, seed: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Within one cell: (query ids, neighbour ids, similarities), up to k neighbours a query."""
+def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the neighbour, similarity), exact: up to k neighbours a query, ties by smaller id."""
+    s = np.round(queries.astype(np.float64) @ x.astype(np.float64).T, 7)
+    s[query_ids[:, None] == ids[None, :]] = -2
+    least = np.partition(s, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+    q, o = np.nonzero((s >= least[:, None]) & (s > -2))
+    by = np.lexsort((ids[o], -s[q, o], q))
+    q, o = q[by], o[by]
+    top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[top], o[top], s[q[top], o[top]]
+
+
+def collide(ids: np.ndarray, x: np.ndarray, k: int, min_similarity: float | None, projections: int, collisions: int, seed: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Within one cell: (query ids, neighbour ids, similarities), up to k neighbours a query.
+
+    Without a ``min_similarity`` a query that has fewer than k within the last radius is compared with the whole cell.
+    """
     n = len(ids)
+    widen, min_similarity = min_similarity is None, WIDEN if min_similarity is None else min_similarity
     lines = np.random.default_rng(seed).standard_normal((x.shape[1], projections)).astype(np.float32)
     p = x @ lines
     order = np.argsort(p, axis=0, kind="stable")
@@ -128,7 +145,7 @@ def collide(ids: np.ndarray, x: np.ndarray, k: int, min_similarity: float, proje
             floor = 1 - radius * radius / 2
             near = s >= max(floor, min_similarity) - 1e-7
             done = np.bincount(q[near], minlength=len(open_)) >= k
-            if radius == last:
+            if radius == last and not widen:
                 done[:] = True
             take = done[q] & (s >= min_similarity - 1e-7)
             q, o, s = q[take], o[take], s[take]
@@ -140,15 +157,20 @@ def collide(ids: np.ndarray, x: np.ndarray, k: int, min_similarity: float, proje
             open_ = open_[~done]
             if not len(open_):
                 break
+        if len(open_):
+            at, o, s = nearest(ids[open_], x[open_], ids, x, k)
+            found.append((ids[open_[at]], ids[o], s))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def similar_vectors(
-    df: DataFrame, id_col: str, group_col: str, vector_col: str, dim_col: str | None = None, k: int = 5, min_similarity: float = 0.75,
+    df: DataFrame, id_col: str, group_col: str, vector_col: str, dim_col: str | None = None, k: int = 5, min_similarity: float | None = 0.75,
     routes: int = 3, per_pivot: int = 256, max_pivots: int = 8192, max_cell: int = 16_384, projections: int = 32, collisions: int = 24, seed: int = 7,
 ) -> DataFrame:
     """Rows (grp, id, neighbour, similarity): for each usable vector its k most similar ones of the same group with a
-    cosine of at least ``min_similarity``, ties by smaller id; found with a recall below 1, see the README.
+    cosine of at least ``min_similarity``, ties by smaller id; found with a recall below 1, see the README. Without a
+    ``min_similarity`` each has k of them if its group has as many others; those that have too few in their cells are
+    compared with all heads of the group.
 
     Unusable rows (see ``usable``) take no part; rows repeated under one id count once; no row is its own neighbour; an
     empty table gives no rows. Vectors of one group but of different sizes are not compared.
@@ -197,13 +219,56 @@ def similar_vectors(
         return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), pa.string()), "id": a, "neighbour": b, "similarity": s})
 
     near = cells.groupBy("grp", "dim", "cell", "sub").applyInArrow(search, schema)
-    best = near.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k).alias("b"))
+    best = _merged(near, k)
+    if min_similarity is None:
+        best = best.checkpoint()
+        best = best.where(F.size("b") == k).unionByName(_short(heads, best, k))
     own = best.select("grp", "id", F.explode("b").alias("b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
     rest = keyed.select("grp", "dim", "copy", "id").join(full, ["grp", "dim", "copy"]).where(F.col("id") > F.element_at("h", -1)).distinct()
     tails = rest.select("grp", "id", F.explode(F.slice("h", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity"))
     return own.unionByName(tails)
 
 
+def _short(heads: DataFrame, best: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """``best`` of those heads that have fewer than k there, against all heads; such are rare, being in small cells only."""
+    spark = heads.sparkSession
+    out = spark.createDataFrame([], best.schema)
+    schema = "grp string, id long, neighbour long, similarity double"
+
+    def against(queries: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = batch.column("dim").to_numpy(zero_copy_only=False)
+                names = np.asarray(batch.column("grp").to_pylist(), dtype=object)
+                for key, (ids, x) in queries.items():
+                    rows = batch.take(pa.array(np.flatnonzero((names == key[0]) & (dims == key[1]))))
+                    if not len(rows):
+                        continue
+                    others, at = np.unique(rows.column("id").to_numpy(), return_index=True)
+                    q, o, s = nearest(ids, x, others, _unit(rows.column("vec").take(pa.array(at)), key[1]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(q), pa.string()), pa.array(ids[q]), pa.array(others[o]), pa.array(s)], names=["grp", "id", "neighbour", "similarity"])
+
+        return run
+
+    def flush(held: list) -> DataFrame:
+        queries = {}
+        for key in {(r["grp"], r["dim"]) for r in held}:
+            mine = [r for r in held if (r["grp"], r["dim"]) == key]
+            queries[key] = np.array([r["id"] for r in mine], np.int64), _unit(pa.array([r["vec"] for r in mine], pa.list_(pa.float32())), key[1])
+        return _merged(heads.mapInArrow(against(queries), schema), k)
+
+    held = []
+    for r in heads.join(best.where(F.size("b") == k).select("grp", "id"), ["grp", "id"], "left_anti").dropDuplicates(["grp", "dim", "id"]).toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = out.unionByName(flush(held)), []
+    return out.unionByName(flush(held)) if held else out
+
+
+def _merged(near: DataFrame, k: int) -> DataFrame:
+    return near.groupBy("grp", "id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k).alias("b"))
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of which one is a neighbour of the other."""
     return neighbours.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()

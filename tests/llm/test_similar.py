@@ -92,3 +92,22 @@ def test_real_crowds_are_split_by_their_own_vectors(spark):
     got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", per_pivot=10, max_pivots=160, routes=3, max_cell=20, projections=1, collisions=0)).collect()}
     want = brute(np.arange(len(x)), x, 5, 0.75)
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_without_a_least_similarity_every_vector_has_k_neighbours(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([clusters(rng, 60, 2, 24), rng.standard_normal((80, 24)), np.tile([[1.0] * 24], (12, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", 24, v.tolist(), "x") for i, v in enumerate(x)] + [(900, "n", 2, [1.0, 0.0], "x"), (901, "n", 2, [0.0, 1.0], "x")], SCHEMA)
+    for options in ({}, {"routes": 1, "per_pivot": 4}):  # one cell; small cells, many of fewer than k others
+        rows = similar_vectors(df, "symbol_id", "model", "vector", "dim", min_similarity=None, **options).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r["id"], []).append((-r["similarity"], r["neighbour"]))
+        assert all(len(got[i]) == 5 for i in range(len(x))) and len(got[900]) == len(got[901]) == 1
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    one = {}
+    for r in similar_vectors(df, "symbol_id", "model", "vector", "dim", min_similarity=None).collect():
+        one.setdefault(r["id"], []).append(r["similarity"])
+    for i in range(120):
+        s = np.sort(np.delete(unit @ unit[i], i))[::-1][:5]
+        assert np.allclose(sorted(one[i], reverse=True), s, atol=1e-5) or one[i][0] >= 0.75
