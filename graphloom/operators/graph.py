@@ -6,6 +6,8 @@ not multiply. A loop only asks for the size of a frontier, never for its rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,24 +182,50 @@ def _louvain(p: pd.DataFrame, sweeps: int = 100) -> pd.DataFrame:
 def communities(adj: DataFrame, max_links: int = 500_000) -> DataFrame:
     """(name, community): Louvain communities, named by their smallest member.
 
-    Components of at most ``max_links`` links are handled each in one task; in larger ones, which must not be gathered,
-    labels spread by weighted majority among neighbours, synchronously, ties to the smaller label.
+    Components of at most ``max_links`` links are handled each in one task, name by name. Larger ones, which must not be
+    gathered, move by the same gain of modularity in rounds over tables, until nothing moves (``_moved``).
     """
     pairs = cut(adj.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     tagged = pairs.join(components(pairs), pairs["src"] == F.col("name")).select("src", "dst", "component")
     sized = cut(tagged.join(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("links")), "component"))
     small = sized.where(F.col("links") <= max_links).groupBy("component").applyInPandas(lambda p: _louvain(p), "name string, community string")
-    large = sized.where(F.col("links") > max_links).select("src", "dst")
-    if large.isEmpty():
-        return small
-    both = cut(large.union(large.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    labels = both.select(F.col("src").alias("name")).distinct().withColumn("label", F.col("name"))
-    order = Window.partitionBy("src").orderBy(F.desc("n"), "label")
-    for _ in range(10):
-        votes = both.join(labels, both["dst"] == labels["name"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = cut(votes.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("src").alias("name"), "label"))
-    named = labels.groupBy("label").agg(F.min("name").alias("community"))
-    return small.unionByName(labels.join(named, "label").select("name", "community"))
+    large = sized.where(F.col("links") > max_links).select("src", "dst", "component", "links")
+    return small if large.isEmpty() else small.unionByName(_moved(large))
+
+
+def _moved(large: DataFrame) -> DataFrame:
+    """Local moving on tables: modularity grows with every round, and it ends when no name gains by moving.
+
+    In a round every name finds the community of its neighbours that gains most, from degrees and community totals in
+    tables. Moves at once could undo each other, so a hash of the round makes every community a giver or a taker, and a
+    move from giver to taker is only made if its gain outweighs what all larger moves out of the same giver and into the
+    same taker can cost it. Links between moving names only add to that. Every other round makes the largest move of all
+    that touch its two communities instead, so that the last ones need not wait for the hash.
+    """
+    both = cut(large.select(F.col("src").alias("name"), F.col("dst").alias("far"), (2 * F.col("links")).alias("m2")).union(large.select("dst", "src", 2 * F.col("links"))))
+    state = cut(both.groupBy("name").agg(F.count(F.lit(1)).alias("degree"), F.first("m2").alias("m2")).withColumn("label", F.col("name")))
+    for r in count():
+        total = state.groupBy("label").agg(F.sum("degree").alias("total"))
+        inside = both.select("name", "far").join(state.select(F.col("name").alias("far"), "label"), "far").groupBy("name", "label").agg(F.count(F.lit(1)).alias("k"))
+        options = inside.join(total, "label").join(state.select("name", "degree", "m2", F.col("label").alias("own")), "name")
+        gains = options.select("name", "label", "own", (F.col("k") - F.col("degree") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0)) / F.col("m2")).alias("gain"))
+        # a name without neighbours in its own community is measured against its total alone
+        stay = state.join(total, "label").select("name", (-F.col("degree") * (F.col("total") - F.col("degree")) / F.col("m2")).alias("alone"))
+        best = gains.groupBy("name", "own").agg(F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stays"), F.max_by(F.col("label"), F.struct("gain", F.xxhash64("label"))).alias("to"), F.max("gain").alias("gain"))
+        moves = best.join(stay, "name").select("name", "own", "to", (F.col("gain") - F.coalesce("stays", "alone")).alias("more")).where("to <> own AND more > 1e-9")
+        moves = cut(moves)
+        if moves.isEmpty():
+            break
+        gives = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 0
+        able = moves.where(gives("own") & ~gives("to")).join(state.select("name", "degree", "m2"), "name")
+        larger = lambda c: F.coalesce(F.sum("degree").over(Window.partitionBy(c).orderBy(F.desc("more"), "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if r % 2 == 0:
+            rank = F.struct(F.col("more"), F.xxhash64("name", F.lit(r)), F.col("name"))
+            tops = moves.select(F.col("own").alias("c"), rank.alias("rank")).union(moves.select("to", rank)).groupBy("c").agg(F.max("rank").alias("top"))
+            able = moves.join(tops.select(F.col("c").alias("own"), F.col("top").alias("a")), "own").join(tops.select(F.col("c").alias("to"), F.col("top").alias("b")), "to").where((rank == F.col("a")) & (rank == F.col("b")))
+        made = able.select("name", "to") if r % 2 == 0 else able.withColumn("cost", F.col("degree") * (larger("own") + larger("to")) / F.col("m2")).where("more - cost > 1e-9").select("name", "to")
+        state = cut(state.join(made, "name", "left").select("name", "degree", "m2", F.coalesce("to", "label").alias("label")))
+    return state.join(state.groupBy("label").agg(F.min("name").alias("community")), "label").select("name", "community")
 
 
 def roots(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -66,6 +66,25 @@ def test_components_and_communities(spark):
     assert len({com[f"a{i}"] for i in range(4)}) == 1 and com["a1"] != com["b1"]
 
 
+def test_large_components_move_by_modularity(spark):
+    # six cliques of five in a ring and a hub that touches them all
+    k5 = [(f"{c}{i}", f"{c}{j}", "call") for c in "abcdef" for i in range(5) for j in range(i)]
+    ring = [(f"{c}0", f"{d}1", "call") for c, d in zip("abcdef", "bcdefa", strict=True)] + [("hub", f"{c}2", "call") for c in "abcdef"]
+    adj = G.adjacency(edges(spark, k5 + ring))
+    com = {r["name"]: r["community"] for r in G.communities(adj, max_links=0).collect()}
+    assert len({com[f"{c}0"] for c in "abcdef"}) == 6 and all(com[f"{c}{i}"] == com[f"{c}0"] for c in "abcdef" for i in range(5))
+    assert len(com) == 31
+    pairs = [(x, y) for x, y, _ in k5 + ring]
+    degree = {n: sum(n in p for p in pairs) for n in com}
+    gain = lambda n, c: sum(com[y if x == n else x] == c for x, y in pairs if n in (x, y)) - degree[n] * sum(degree[o] for o in com if o != n and com[o] == c) / (2 * len(pairs))
+    assert all(gain(n, com[n]) >= gain(n, c) - 1e-9 for n in com for c in {*com.values()})
+
+
+def test_a_pair_of_a_large_component_does_not_swap_labels(spark):
+    adj = G.adjacency(edges(spark, [("p", "q", "call")]))
+    assert {r["community"] for r in G.communities(adj, max_links=0).collect()} == {"p"}
+
+
 def test_long_path_is_one_component(spark):
     adj = G.adjacency(edges(spark, [(f"n{i:03}", f"n{i + 1:03}", "call") for i in range(60)]))
     assert {r["component"] for r in G.components(adj.select("src", "dst")).collect()} == {"n000"}
