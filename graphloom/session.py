@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one is set only where the session names none (tests)."""
+    """The cluster's folder for checkpoints, spark.checkpoint.dir. A folder of this machine is taken only where Spark runs on
+    this machine alone and the setting is missing, as in tests; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
