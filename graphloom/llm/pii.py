@@ -2,11 +2,15 @@
 
 Cheap marks (an at sign, a label, a street word, a phrase that introduces a person) are found in one pass by an
 Aho-Corasick automaton; grammars for addresses, names, numbers and e-mails are only tried around those marks, so that
-most of a text is scanned once. Whole texts are read. Overlaps go to the longer find, then to the earlier one.
-
-A placeholder names its type and holds a pseudonym: numbers and dates are permuted by a keyed Feistel network within
-their format (digits stay digits, capitals stay capitals, the rest stays as it is), so that equal values get equal
-pseudonyms in all documents and nobody without the key can undo it; other values get a keyed tag.
+most of a text is scanned once. Whole texts are read, and no find is bounded by a number of characters. A full name that
+is introduced once is found wherever else it stands in that text; common given names need no introduction. Overlaps go
+to the longer find, then to the earlier one.
+
+A placeholder names its type and holds a pseudonym: numbers and birth dates are permuted by a keyed Feistel network within
+their format, so that equal values get equal pseudonyms in all documents and nobody without the key can undo it. Layout,
+country codes and prefixes stay; a value that passes the checks of its kind (check letters and digits of DNI, NIE, NIR,
+IBAN and tax numbers, the ranges of social security numbers, the calendar) gets one that passes them too. Other values
+get a keyed tag.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -94,6 +100,10 @@ ID_VALUE = re.compile(
 BARE_ID = re.compile(r"(?<![\w.\-/:#])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[12] \d{2} \d{2} (?:\d{2}|2[AB]) \d{3} \d{3} \d{2})(?![\w]|-\d|\.\d)")
 OWNER = re.compile(r"(?:,? (?:of|for|von|pour|de|del|belonging to|registered to|issued to|held by)|:|;|,) ")
 
+BEGINS = re.compile(rf"(?<![\w'’.\-])(?={GIVEN}|{PART})")
+PARTICLES = frozenset("van der den de von dem la las los vom del della di da das dos du des le ter ten bin ibn ben al el zu zur y e af av".split())
+HEADS = re.compile(r"(?<![\w.\-])\w")
+BEFORE_MAIL = re.compile(r"(?:\s*[<(\[]|;|\s*\|\s*(?:[^|\n]{1,30}\|\s*)?|,\s*(?:correo|joignable via|erreichbar über|reachable at|e-?mail:?)\s*|\",\s*\"(?:e?-?mail)\":\s*\")(?:mailto:)?$")
 WORDS = rf"(?:[{UP}][{UP}{LOW}'’.\-]*[{UP}{LOW}'’\-])"
 TOWN = rf"{WORDS}(?:[ \-](?:(?:am|an der|im|bei|sur|sous|en|la|le|les|de|del|upon|on)[ \-])?{WORDS}){{0,2}}"
 ZIP = r"(?:[A-Z]{1,2}-)?\d{4,6}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}"
@@ -114,6 +124,22 @@ STREETS = (
     "O. Box ", "O Box ", "PO Box", "Postfach ", "Apartado ", "rue ", "avenue ", "chemin ", "boulevard ", "place ", "allée ", "impasse ", "quai ", "route ", "straße", "strasse", "str. ", "weg ", "platz ", "allee ", "gasse ", "ring ", "damm ", "ufer ", "Straße", "Calle ", "C/ ", "Avda", "Avenida ",
     "Plaza ", "Paseo ", "Camino ", "Ronda ", "Carretera ",
 )
+#: fixed values: common given names that are no everyday words, English, German, French and Spanish
+GIVEN_NAMES = (
+    "Aaron", "Adam", "Adriana", "Alan", "Albert", "Alejandro", "Alexander", "Alexandra", "Alice", "Alicia", "Amanda", "Amélie", "Ana", "Andrea", "Andreas", "Andrew", "Angela", "Anna", "Anne", "Anthony", "Antoine", "Antonio", "Barbara", "Beatriz",
+    "Benjamin", "Benoît", "Birgit", "Brian", "Camille", "Carlos", "Carmen", "Caroline", "Catherine", "Cécile", "Charles", "Charlotte", "Chloé", "Christian", "Christine", "Christophe", "Christopher", "Claire", "Claudia", "Cristina", "Daniel", "Daniela",
+    "David", "Deborah", "Diego", "Dieter", "Dominique", "Donald", "Dorothy", "Edward", "Eduardo", "Elena", "Elizabeth", "Emily", "Emma", "Enrique", "Eric", "Esther", "Eva", "Felix", "Fernando", "Florian", "Francisco", "François", "Françoise", "Friedrich",
+    "Gabriel", "Georg", "George", "Gérard", "Gerhard", "Gloria", "Guillaume", "Günter", "Hannah", "Hans", "Heike", "Helen", "Helmut", "Hélène", "Henry", "Ignacio", "Ingrid", "Isabel", "Isabelle", "Jacques", "James", "Jane", "Javier", "Jean", "Jennifer",
+    "Jessica", "Joachim", "Johannes", "John", "José", "Joseph", "Juan", "Julia", "Julien", "Jürgen", "Karen", "Karl", "Karin", "Katharina", "Kathleen", "Kenneth", "Kevin", "Klaus", "Laura", "Laurent", "Linda", "Lisa", "Lorena", "Louis", "Luis", "Manuel",
+    "Margaret", "María", "Maria", "Marie", "Mario", "Martin", "Mary", "Matthew", "Michael", "Michelle", "Miguel", "Monika", "Nancy", "Nathalie", "Nicolas", "Nicole", "Olivier", "Pablo", "Patricia", "Patrick", "Paul", "Pedro", "Peter", "Philippe", "Pierre",
+    "Ralf", "Raquel", "Rebecca", "Richard", "Robert", "Ronald", "Sabine", "Samuel", "Sandra", "Sarah", "Sebastian", "Sergio", "Silvia", "Sophie", "Stefan", "Stephanie", "Steven", "Susan", "Susanne", "Sylvie", "Teresa", "Thierry", "Thomas", "Timothy", "Ursula",
+    "Valérie", "Verónica", "Virginie", "Walter", "William", "Wolfgang", "Xavier", "Yves", "Zoé",
+)
+#: words that follow a given name in the name of a thing
+THINGS = frozenset("api app build bridge cache class cluster server service framework library project protocol release repo repository road street square tool university institute".split())
+BIRTH = re.compile(
+    r"(?:\bborn(?: on)?|\bdate of birth|\bbirth date|\bbirthday|\bdob|\bgeboren am|\bgeburtsdatum|\bgeb\.|\bnée? le|\bdate de naissance|\bnacid[oa] el|\bfecha de nacimiento)\s*[:=]?\s*(?P<d>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d)", re.I
+)
 _built: dict[str, object] = {}
 
 
@@ -126,11 +152,13 @@ def _automata():
             for p in phrases:
                 low.add_word(p, (kind, len(p)))
         for p in STREETS:
-            exact.add_word(p, len(p))
+            exact.add_word(p, ("street", len(p)))
         for p in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Herrn", "Frau", "Sra", "Sr", "Mme", "Mlle", "M", "Doña", "Don", "Dra", "Srta", "Monsieur", "Madame", "Señor", "Señora"):
             for stop in (" ", ". "):
                 if (p, stop) not in (("M", " "), ("Don", ". ")):
-                    exact.add_word(p + stop, -len(p + stop))
+                    exact.add_word(p + stop, ("title", len(p + stop)))
+        for p in GIVEN_NAMES:
+            exact.add_word(p + " ", ("given", len(p) + 1))
         low.make_automaton()
         exact.make_automaton()
         _built["low"], _built["exact"] = low, exact
@@ -177,28 +205,117 @@ def name_at(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def _back(text: str, at: int, floor: int) -> int:
+    """Where the run of words that may belong to a name ending at ``at`` begins, one word more, not before ``floor``."""
+    pos = at
+    while pos > floor:
+        j = text.rfind(" ", floor, pos)
+        word = text[j + 1 if j >= 0 else floor : pos]
+        if j < 0:
+            return floor
+        if not (word[:1].isupper() or word.rstrip(",") in PARTICLES):
+            return j + 1
+        pos = j
+    return floor
+
+
+def _name_ending(text: str, at: int, floor: int) -> tuple[int, int] | None:
+    """The longest name that ends at ``at``."""
+    lo = _back(text, at, floor)
+    for m in BEGINS.finditer(text, lo, at):
+        s = name_at(text, m.start())
+        if s and s[1] == at:
+            return s
+        t = TITLE.match(text, m.start())
+        if t and (v := SURNAME.match(text, t.end())) and v.end() == at:
+            return v.start(), at
+    return None
+
+
 def _mails(text: str, at: int) -> tuple[int, int] | None:
-    lo = max(0, at - 80)
-    for m in MAIL.finditer(text, lo, min(len(text), at + 120)):
-        if m.start() < at < m.end():
-            local = re.sub(r"\+.*", "", m[0].split("@")[0]).lower()
-            if local in DESKS or local.rstrip("0123456789") in DESKS or re.search(r"(?:^|[-_.])(?:bot|noreply|no-reply|daemon|ci)$", local):
-                return None
-            before, after = text[max(0, m.start() - 12) : m.start()], text[m.end() : m.end() + 2]
-            if before.endswith(("://", "/")) or re.match(r":[\w/]", after) or before.endswith("@"):
-                return None
+    lo = at
+    while lo and (text[lo - 1].isalnum() or text[lo - 1] in "_.+'%-"):
+        lo -= 1
+    while lo < at and not (text[lo].isascii() and (text[lo].isalnum() or text[lo] == "_")):
+        lo += 1
+    m = MAIL.match(text, lo)
+    if not m or not m.start() < at < m.end():
+        return None
+    local = re.sub(r"\+.*", "", m[0].split("@")[0]).lower()
+    if local in DESKS or local.rstrip("0123456789") in DESKS or re.search(r"(?:^|[-_.])(?:bot|noreply|no-reply|daemon|ci)$", local):
+        return None
+    before, after = text[max(0, m.start() - 12) : m.start()], text[m.end() : m.end() + 2]
+    if before.endswith(("://", "/")) or re.match(r":[\w/]", after) or before.endswith("@"):
+        return None
+    return m.span()
+
+
+def _disguised(text: str, at: int, size: int) -> tuple[int, int] | None:
+    lo = at - 1 if at and text[at] not in " _" and text[at - 1] == " " else at
+    while lo and (text[lo - 1].isalnum() or text[lo - 1] in "_.+-"):
+        lo -= 1
+    m = (SPOKEN_MAIL if text[at] == " " else MARKED_MAIL).match(text, lo)
+    if not m or not m.start() <= at < m.end():
+        return None
+    local = re.split(r" ?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]| at |_at_)", m[0], maxsplit=1, flags=re.I)[0].lower()
+    return None if re.sub(r"\+.*", "", local) in DESKS else m.span()
+
+
+def _address(text: str, end: int, floor: int) -> tuple[int, int] | None:
+    """The address whose street mark ends at ``end``: at most eight words of it stand before the mark."""
+    lo = end
+    for _ in range(8):
+        while lo > floor and not text[lo - 1].isspace():
+            lo -= 1
+        if lo <= floor:
+            break
+        while lo > floor and text[lo - 1].isspace():
+            lo -= 1
+    while lo > floor and not text[lo - 1].isspace():
+        lo -= 1
+    for p in HEADS.finditer(text, lo, end + 1):
+        m = ADDRESS.match(text, p.start())
+        if m and m.end() > end:
             return m.span()
     return None
 
 
+def _disjoint(spans: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans in order of place, of those that overlap the longer one, then the earlier one."""
+    taken: list[tuple[int, int, str]] = []
+    for x in sorted(spans, key=lambda x: (-(x[1] - x[0]), x[0], x[2])):
+        k = bisect_left(taken, x)
+        if (k == 0 or taken[k - 1][1] <= x[0]) and (k == len(taken) or taken[k][0] >= x[1]):
+            insort(taken, x)
+    return taken
+
+
+def _again(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Further places of the full names among ``spans``."""
+    import ahocorasick
+
+    full = {text[s:e] for s, e, kind in spans if kind == "name" and " " in text[s:e]}
+    full = {x for x in full if re.match(rf"[{UP}][{LOW}'’\-]", x) and ", " not in x}
+    if not full:
+        return []
+    a = ahocorasick.Automaton()
+    for x in full:
+        a.add_word(x, len(x))
+    a.make_automaton()
+    out = []
+    for end, size in a.iter(text):
+        at = end - size + 1
+        if not (at and (text[at - 1].isalnum() or text[at - 1] in "_.-/@'’")) and not re.match(r"[\w@]|[-.'’]\w", text[end + 1 : end + 3]):
+            out.append((at, end + 1, "name"))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all personal information in a text, in order of place, without overlaps."""
     low, exact = _automata()
     small = _lower(text)
     spans: list[tuple[int, int, str]] = []
     ids: list[tuple[int, int]] = []
-    n = len(text)
-    roles_done = -1
     for end, (kind, size) in low.iter(small):
         at = end - size + 1
         if kind == "name":
@@ -208,59 +325,38 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if s := name_at(text, end + 1):
                 spans.append((*s, "name"))
         elif kind == "mail":
-            if small[at] == "@":
-                if s := _mails(text, at):
-                    spans.append((*s, "email"))
-            shape = SPOKEN_MAIL if small[at] == " " else MARKED_MAIL
-            for m in shape.finditer(text, max(0, at - 70), min(n, at + 120)) if size > 1 and (small[at] != " " or "dot" in small[at : at + 70]) else ():
-                if m.start() <= at < m.end():
-                    local = re.split(r" ?(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\]| at |_at_)", m[0], maxsplit=1, flags=re.I)[0].lower()
-                    if re.sub(r"\+.*", "", local) not in DESKS:
-                        spans.append((m.start(), m.end(), "email"))
+            if s := _mails(text, at) if small[at] == "@" else _disguised(text, at, size):
+                spans.append((*s, "email"))
         elif kind == "id":
             if at and (small[at - 1].isalnum() or small[at - 1] == "_"):
                 continue
             m = LABEL.match(text, at)
             if m and (v := ID_VALUE.match(text, m.end())) and sum(c.isdigit() for c in v[0]) >= 5:
                 ids.append(v.span())
-        elif kind == "role" and at > roles_done:
-            m = ROLE_OF.search(text, at, min(n, at + 90))
-            if m and m.start() <= at + 2:
-                roles_done = m.end()
-                if s := name_at(text, m.end()):
-                    spans.append((*s, "name"))
+        elif kind == "role":
+            if (m := ROLE_OF.match(text, at)) and (s := name_at(text, m.end())):
+                spans.append((*s, "name"))
         elif kind == "wrote":
-            quoted = text.rfind("> ", 0, at)
-            lo = max(text.rfind("\n", 0, at) + 1, quoted + 2 if quoted >= 0 else 0, at - 60)
-            for m in re.finditer(rf"(?<![\w'’.\-])(?={GIVEN}|{PART})", text[lo:at]):
-                s = name_at(text, lo + m.start())
-                if s and s[1] == at:
-                    spans.append((*s, "name"))
-                    break
-                t = TITLE.match(text, lo + m.start())
-                if t and (v := SURNAME.match(text, t.end())) and v.end() == at:
-                    spans.append((v.start(), at, "name"))
-                    break
-    reached = -1
-    for end, size in exact.iter(text):
-        if size < 0:
-            at = end + size + 1
+            quoted = text.rfind("> ", text.rfind("\n", 0, at) + 1, at)
+            if s := _name_ending(text, at, quoted + 2 if quoted >= 0 else text.rfind("\n", 0, at) + 1):
+                spans.append((*s, "name"))
+    reached = 0
+    for end, (kind, size) in exact.iter(text):
+        at = end - size + 1
+        if kind == "title":
             if at and (text[at - 1].isalnum() or text[at - 1] in "._"):
                 continue
             if s := name_at(text, at):
                 spans.append((*s, "name"))
-            continue
-        if end <= reached:
-            continue
-        lo = max(0, end - 80, reached)
-        for m in ADDRESS.finditer(text, lo, min(n, end + 110)):
-            if m.end() > end:
-                if m.start() <= end:
-                    head = re.search(r"(?:\w|[.\-])$", text[max(0, m.start() - 1) : m.start()])
-                    if not head:
-                        spans.append((m.start(), m.end(), "address"))
-                        reached = m.end()
-                break
+        elif kind == "given":
+            if at and (text[at - 1].isalnum() or text[at - 1] in "_'’.-/@"):
+                continue
+            m = FULL.match(text, at)
+            if m and _is_name(m[0]) and m[0].split()[-1].lower() not in THINGS:
+                spans.append((*m.span(), "name"))
+        elif end >= reached and (s := _address(text, end, reached)):
+            spans.append((*s, "address"))
+            reached = s[1]
     for m in BARE_ID.finditer(text):
         ids.append(m.span())
     for s in set(ids):
@@ -274,23 +370,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if 8 <= digits <= 15 and not NOT_PHONE.search(text[max(0, m.start() - 14) : m.start()]):
                 spans.append((m.start(), m.end(), "phone"))
     # a name before an address of a person: in brackets, after a bar or a comma
-    for s, e, kind in [x for x in spans if x[2] == "email"]:
-        lo = max(text.rfind("\n", 0, s) + 1, s - 90)
-        head = text[lo:s]
-        cue = re.search(r"(?:\s*[<(\[]|;|\s*\|\s*(?:[^|\n]{1,30}\|\s*)?|,\s*(?:correo|joignable via|erreichbar über|reachable at|e-?mail:?)\s*|\",\s*\"(?:e?-?mail)\":\s*\")(?:mailto:)?$", head)
-        if cue:
-            stop = lo + cue.start()
-            for m in re.finditer(rf"(?<![\w'’.\-])(?={GIVEN}|{PART})", text[lo:stop]):
-                v = name_at(text, lo + m.start())
-                if v and v[1] == stop:
-                    spans.append((*v, "name"))
-                    break
-    spans = sorted({*spans}, key=lambda x: (-(x[1] - x[0]), x[0], x[2]))
-    taken: list[tuple[int, int, str]] = []
-    for x in spans:
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
-            taken.append(x)
-    return sorted(taken)
+    for s, _, kind in [x for x in spans if x[2] == "email"]:
+        line = text.rfind("\n", 0, s) + 1
+        # the cue itself is short
+        if cue := BEFORE_MAIL.search(text[max(line, s - 90) : s]):
+            if v := _name_ending(text, max(line, s - 90) + cue.start(), line):
+                spans.append((*v, "name"))
+    return _disjoint({*spans, *_again(text, spans)})
 
 
 # ---------------------------------------------------------------- pseudonyms
@@ -358,11 +444,110 @@ def canonical(value: str, kind: str) -> str:
     return " ".join(value.lower().split())
 
 
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed values: check letters by the remainder of 23
+LONG_CODES = re.compile(r"2[1-689]|3[578]|42|5[09]|6[789]|8[058]|9[679]")  # fixed values: how country codes of three digits begin
+
+
+def _numbers(text: str) -> int:
+    """Letters and digits as one number, A being 10."""
+    return int("".join(str(int(c, 36)) for c in text))
+
+
+def _dni_letter(body: str) -> str:
+    return DNI_LETTERS[int(body.translate(str.maketrans("XYZ", "012"))) % 23]
+
+
+def _tax_digit(body: str) -> str:
+    p = 10
+    for c in body:
+        p = 2 * ((int(c) + p) % 10 or 10) % 11
+    return str((11 - p) % 10)
+
+
+def _iban_digits(country: str, body: str) -> str:
+    return f"{98 - _numbers(body + country + '00') % 97:02d}"
+
+
+def checked(plain: str) -> str | None:
+    """The kind of identity number whose check a plain value (letters and digits) passes, or None."""
+    if re.fullmatch(r"(?:\d{8}|[XYZ]\d{7})[A-Z]", plain):
+        return "dni" if _dni_letter(plain[:-1]) == plain[-1] else None
+    if re.fullmatch(r"[12]\d{14}", plain):
+        return "nir" if int(plain[13:]) == 97 - int(plain[:13]) % 97 else None
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}", plain):
+        return "iban" if _iban_digits(plain[:2], plain[4:]) == plain[2:4] else None
+    if re.fullmatch(r"[1-9]\d{10}", plain):
+        return "tax" if _tax_digit(plain[:10]) == plain[10] else None
+    if re.fullmatch(r"\d{9}", plain):
+        return "ssn" if plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000" else None
+    return None
+
+
+def number_pseudonym(plain: str, kind: str, key: bytes) -> str:
+    """A pseudonym of a plain number, as long as it, that passes the check which the number passes."""
+    tweak = kind.encode()
+    shape = checked(plain) if kind == "id_number" else None
+    if shape == "dni":
+        head = plain[0] if plain[0] in "XYZ" else ""
+        body = head + same_format(plain[len(head) : -1], key, tweak + head.encode())
+        return body + _dni_letter(body)
+    if shape == "nir":
+        body = plain[0] + same_format(plain[1:13], key, tweak + plain[:1].encode())
+        return body + f"{97 - int(body) % 97:02d}"
+    if shape == "iban":
+        body = same_format(plain[4:], key, tweak + plain[:2].encode())
+        return plain[:2] + _iban_digits(plain[:2], body) + body
+    if shape == "tax":
+        body = str(feistel(int(plain[:10]) - 10**9, 9 * 10**9, key, tweak) + 10**9)
+        return body + _tax_digit(body)
+    if shape == "ssn":  # areas 001 to 899 without 666, groups from 01, serials from 0001
+        area = int(plain[:3]) - 1 - (int(plain[:3]) > 666)
+        number = feistel((area * 99 + int(plain[3:5]) - 1) * 9999 + int(plain[5:]) - 1, 898 * 99 * 9999, key, tweak)
+        area, rest = divmod(number, 99 * 9999)
+        return f"{area + 1 + (area >= 665):03d}{rest // 9999 + 1:02d}{rest % 9999 + 1:04d}"
+    new = same_format(plain, key, tweak)
+    while kind == "id_number" and checked(new):  # so that no two values get the same
+        new = same_format(new, key, tweak)
+    return new
+
+
+def same_date(value: str, key: bytes) -> str:
+    """A date of the years 1900 to 2099 in the layout of ``value``; what is no such date is permuted digit by digit."""
+    a, b, c = re.split(r"[-./]", value)
+    for order in ((0, 1, 2),) if len(a) == 4 else ((2, 1, 0), (2, 0, 1)):  # day first, else month first
+        fields = [(a, b, c)[k] for k in order]
+        try:
+            day = date(*map(int, fields))
+        except ValueError:
+            continue
+        if 1900 <= day.year <= 2099:
+            first = date(1900, 1, 1).toordinal()
+            new = date.fromordinal(first + feistel(day.toordinal() - first, date(2100, 1, 1).toordinal() - first, key, b"date"))
+            parts = [""] * 3
+            for k, x in zip(order, (new.year, new.month, new.day), strict=True):
+                parts[k] = str(x) if k == order[0] else f"{x:02d}"
+            return re.sub(r"\d+", lambda _, it=iter(parts): next(it), value)
+    return same_format(value, key, b"date")
+
+
 def placeholder(value: str, kind: str, key: bytes) -> str:
-    """``[TYPE pseudonym]``: in the value's format for numbers, a keyed tag for the rest."""
+    """``[TYPE pseudonym]``: in the value's own layout for numbers and dates, a keyed tag for the rest."""
+    if kind == "date":
+        return f"[DATE {same_date(value, key)}]"
     if kind in ("phone", "id_number"):
-        plain = canonical(value, kind)
-        return f"[{kind.upper()} {same_format(plain, key, kind.encode())}]"
+        kept = 0
+        if kind == "phone" and (m := re.match(r"\(?\+(\d)|(00)[1-9]", value)):  # the country code stays
+            digits = re.sub(r"\D", "", value)[2 if m[2] else 0 :]
+            kept = (2 if m[2] else 0) + (1 if digits[0] in "17" else 3 if LONG_CODES.match(digits) else 2)
+        at = [k for k, c in enumerate(value) if c.isascii() and c.isalnum()][kept:]
+        if kept and (trunk := value.find("(0)")) >= 0:
+            at = [k for k in at if k != trunk + 1]
+        code = canonical(value, kind)[2 if value.startswith("00") else 0 : kept]
+        plain = "".join(value[k] for k in at).upper()
+        out = list(value)
+        for k, c in zip(at, number_pseudonym(plain, kind + code, key) if code else number_pseudonym(plain, kind, key), strict=True):
+            out[k] = c
+        return f"[{kind.upper()} {''.join(out)}]"
     tag = hashlib.blake2b(f"{kind}|{canonical(value, kind)}".encode(), key=key[:64], digest_size=5).hexdigest()
     return f"[{kind.upper()} {tag}]"
 
@@ -383,13 +568,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def masked(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text, n_masked): texts with placeholders; null and empty texts stay as they are."""
+    """Rows (id, text, n_masked): texts with placeholders, birth dates included; null and empty texts stay as they are.
+
+    An empty key is an error, as its pseudonyms could be undone by anybody.
+    """
+    if not key:
+        raise ValueError("a key is needed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, counts = [], []
             for t in b["t"]:
-                found = find(t) if t else []
+                found = _disjoint({*find(t), *((*m.span("d"), "date") for m in BIRTH.finditer(t))}) if t else []
                 out, at = [], 0
                 for s, e, k in found:
                     out += [t[at:s], placeholder(t[s:e], k, key)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p8_masked")
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts with typed placeholders. The key comes from GRAPHLOOM_PII_KEY; the fallback is for tests only."""
-    key = os.environ.get("GRAPHLOOM_PII_KEY", "a key for tests").encode()
-    return masked(table(spark, sf_dir, "documents"), key).withColumnRenamed("id", "doc_id")
+    """All texts with typed placeholders. The key is GRAPHLOOM_PII_KEY, or the session's spark.graphloom.pii.key; without
+    either a key is drawn for this run, so that pseudonyms link within it and to nothing else."""
+    key = os.environ.get("GRAPHLOOM_PII_KEY") or spark.conf.get("spark.graphloom.pii.key", "") or secrets.token_hex(32)
+    return masked(table(spark, sf_dir, "documents"), key.encode()).withColumnRenamed("id", "doc_id")
