@@ -2,11 +2,12 @@
 
 1. Texts become words: lower case, without markup, escapes, entities and punctuation. A sentence with which many distinct
    items begin, to go on differently (a standing instruction), is taken out of them.
-2. Documents are cut into overlapping passages. Over the passages of all distinct texts the document frequencies of the
+2. Every document is read once and becomes the numbers of the items' words in it; all further steps work on those.
+   Documents are cut into overlapping passages. Over the passages of all distinct texts the document frequencies of the
    items' words are counted; a word of more than ``max_df`` of them has no weight, the others have tf-idf weights.
    Passages without any weight have no direction; they go on if they hold a seed (step 5) or an answer of an item.
 3. A randomised SVD of passages and item windows: a random sketch, one power iteration and Rayleigh-Ritz, each a sum of
-   small matrices over partitions (words x rank, whatever the size of the corpus).
+   small matrices (words x rank), one for each task of a number of tasks that the cores give, not the data.
 4. Every passage is compared with every item window by cosine in the latent space; pairs above a threshold, which is
    fitted to shortened and disturbed windows of the items themselves, are candidates. None are cut off.
 5. A leak has at least ``least`` consecutive item words, or the whole item, with at most one word in ``tolerance``
@@ -19,6 +20,7 @@ Items are taken in blocks of ``block`` items, so that what is sent to the execut
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.registry import shared_dir
+from graphloom.llm.registry import shared_dir, slots
 
 WORD = re.compile(r"[^\W_]+")
 SPECIAL = re.compile(r"[\\&<%­​-‏⁠﻿]|[^\x00-ɏ]")
@@ -100,7 +102,7 @@ def windows(n: int, length: int, stride: int) -> list[tuple[int, int]]:
 
 
 # ---------------------------------------------------------------- alignment
-def _reach(a: Sequence[str], b: Sequence[str], errors: int) -> list[int]:
+def _reach(a: Sequence, b: Sequence, errors: int) -> list[int]:
     """How many words of ``a`` can be covered from its start, against ``b`` from its start, with 0, 1, ... errors."""
     n, m = len(a), len(b)
     out = [0] * (errors + 1)
@@ -134,10 +136,11 @@ def seed_length(n: int, tolerance: int = 8, seed: int = 5) -> int:
     return min(seed, n if n < tolerance else n // 2)
 
 
-def aligned(item: Sequence[str], grams: dict[tuple[str, ...], list[int]], passage: Sequence[str], least: int = 12, tolerance: int = 8, seed: int = 5, errors: int = 4) -> bool:
+def aligned(item: Sequence, grams: dict[tuple, list[int]], passage: Sequence, least: int = 12, tolerance: int = 8, seed: int = 5, errors: int = 4) -> bool:
     """Whether a passage holds the whole item or ``least`` consecutive words of it, one word in ``tolerance`` being off.
 
-    Such a span always holds ``seed_length`` words in a row; from each such place it is extended both ways.
+    Such a span always holds ``seed_length`` words in a row; from each such place it is extended both ways. A span of
+    a longer item ends with words that are right; of an item of at most ``least`` words its first or last may be off.
     """
     n, m = len(item), len(passage)
     need = min(least, n)
@@ -158,15 +161,17 @@ def aligned(item: Sequence[str], grams: dict[tuple[str, ...], list[int]], passag
                     span = left_len + end + right[e2]
                     if span >= need and (e1 + e2) * tolerance <= span:
                         return True
+                    if n <= least and (e1 + e2 + max(0, n - span)) * tolerance <= n:
+                        return True
     return False
 
 
-def common_share(item: Sequence[str], passage: Sequence[str]) -> float:
+def common_share(item: Sequence, passage: Sequence) -> float:
     """The longest common subsequence's share of the shorter text."""
     if not item or not passage:
         return 0.0
     at = {w: 0 for w in passage}
-    masks: dict[str, int] = dict.fromkeys(at, 0)
+    masks = dict.fromkeys(at, 0)
     for k, w in enumerate(passage):
         masks[w] |= 1 << k
     full = (1 << len(passage)) - 1
@@ -178,19 +183,33 @@ def common_share(item: Sequence[str], passage: Sequence[str]) -> float:
 
 
 # ---------------------------------------------------------------- retrieval
-def _sum_matrices(parts: DataFrame, shape: tuple[int, int], partitions: int) -> np.ndarray:
-    """The sum of the matrices in column ``m`` (float32 bytes), in two rounds of few tasks."""
+TERMS = 16  # rows of a matrix that are sent together
+
+
+def _pieces(m: np.ndarray) -> pd.DataFrame:
+    """A matrix as (k, m) rows of ``TERMS`` of its rows each, without those of zeros."""
+    full = np.zeros((-(-len(m) // TERMS) * TERMS, m.shape[1]), np.float32)
+    full[: len(m)] = m
+    parts = full.reshape(-1, TERMS * m.shape[1])
+    at = np.flatnonzero(parts.any(axis=1))
+    return pd.DataFrame({"k": at.astype(np.int32), "m": [parts[k].tobytes() for k in at]})
+
+
+def _sum_matrices(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of matrices given in ``_pieces``: as much comes to the driver as one matrix has."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape[0] * shape[1])
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b["m"]:
-                total += np.frombuffer(x, np.float32)
-        yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
+            for k, x in zip(b["k"].tolist(), b["m"], strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.float32).astype(np.float64)
+        yield pd.DataFrame({"k": list(total), "m": [x.astype(np.float32).tobytes() for x in total.values()]})
 
-    some = max(1, round(partitions**0.5))
-    rows = parts.repartition(some).mapInPandas(add, "m binary").repartition(1).mapInPandas(add, "m binary").collect()  # one row
-    return sum((np.frombuffer(r["m"], np.float32).astype(np.float64) for r in rows), np.zeros(shape[0] * shape[1])).reshape(shape)
+    blocks = -(-shape[0] // TERMS)
+    out = np.zeros((blocks, TERMS * shape[1]))
+    for r in parts.repartition(max(1, min(64, blocks // 8)), "k").mapInPandas(add, "k int, m binary").collect():  # as many rows as blocks
+        out[r["k"]] = np.frombuffer(r["m"], np.float32)
+    return out.reshape(blocks * TERMS, shape[1])[: shape[0]]
 
 
 def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -281,9 +300,22 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
     spark = corpus.sparkSession
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws, _ in held for w in ws}))}
     size = len(vocabulary)
-
+    for w in sorted({w for _, _, answer in held for w in answer}):  # words of answers have numbers, but no weight
+        vocabulary.setdefault(w, len(vocabulary))
+    number = np.int16 if len(vocabulary) < 1 << 15 else np.int32
     get = vocabulary.get
 
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b["d"], b["t"], strict=True):
+                words = words_of(t)
+                ids = np.array([get(w, -1) for w in words], number)
+                rows.append((d, hashlib.md5(t.encode(), usedforsecurity=False).digest(), len(ids), ids.tobytes() if (ids >= 0).any() else b""))
+            yield pd.DataFrame(rows, columns=["d", "h", "n", "ids"])
+
+    coded = corpus.mapInPandas(code, "d long, h binary, n int, ids binary").checkpoint()
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, passages = np.zeros(size + 1, np.int64), 0
         for b in batches:
@@ -294,17 +326,19 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                 seen[np.concatenate(keys)] = True
                 total[:size] += seen.reshape(rows, size).sum(axis=0)
 
-            for t in b["t"]:
-                ids = np.array([get(w, -1) for w in words_of(t)], np.int64)
-                spans = np.array(windows(len(ids), length, stride)).reshape(-1, 2)
-                at = np.flatnonzero(ids >= 0)
+            for n, raw in zip(b["n"].tolist(), b["ids"], strict=True):
+                spans = np.array(windows(n, length, stride)).reshape(-1, 2)
+                passages += len(spans)
+                if not raw:
+                    continue
+                ids = np.frombuffer(raw, number).astype(np.int64)
+                at = np.flatnonzero((ids >= 0) & (ids < size))
                 mine = ids[at]
                 # a word lies in the windows from the first that ends after it to the last that starts before it
                 first, last = np.searchsorted(spans[:, 1], at, "right"), np.searchsorted(spans[:, 0], at, "right")
                 for k in range(int((last - first).max(initial=0))):
                     here = first + k < last
                     keys.append((held_back + first[here] + k) * size + mine[here])
-                passages += len(spans)
                 held_back += len(spans)
                 if held_back >= 2048 and keys:
                     settle(keys, held_back)
@@ -315,18 +349,18 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
         yield pd.DataFrame({"term": np.flatnonzero(total), "n": total[total > 0]})
 
     df = np.zeros(size + 1)
-    for r in corpus.select("t").distinct().mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as words
+    for r in coded.select("h", "n", "ids").dropDuplicates(["h"]).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as words
         df[r["term"]] = r["n"]
     total = max(df[size], 1.0)
     own = [[vocabulary[w] for w in ws] for _, ws, _ in held]
     idf = np.log((1 + total) / (1 + df[:size])) + 0.1
     idf[(df[:size] > max_df * total) & (df[:size] > 50)] = 0.0
-    weighty = idf > 0
+    weighty = np.r_[idf > 0, np.zeros(len(vocabulary) - size + 1, bool)]  # the last place is that of -1
 
-    seeds: dict[tuple[str, ...], set[int]] = {}
+    seeds: dict[tuple[int, ...], set[int]] = {}
     grams = []
-    for k_item, (_, ws, _) in enumerate(held):
-        g: dict[tuple[str, ...], list[int]] = {}
+    for k_item, ws in enumerate(own):
+        g: dict[tuple[int, ...], list[int]] = {}
         n = seed_length(len(ws), tolerance)
         for k in range(len(ws) - n + 1):
             g.setdefault(tuple(ws[k : k + n]), []).append(k)
@@ -334,40 +368,45 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
         grams.append(g)
     lengths = sorted({len(x) for x in seeds})
     # seeds as sorted hashes of their terms: what hits one is looked up exactly later
-    hashed = {n: np.unique(_hashes(np.array([[vocabulary[w] for w in x] for x in seeds if len(x) == n], np.int64).ravel(), n)[::n]) for n in lengths}
+    hashed = {n: np.unique(_hashes(np.array([x for x in seeds if len(x) == n], np.int64).ravel(), n)[::n]) for n in lengths}
     # items by one word of their answers
-    by_answer: dict[str, list[int]] = {}
+    answers = [frozenset(vocabulary[w] for w in answer) for _, _, answer in held]
+    by_answer: dict[int, list[int]] = {}
     for k_item, (_, _, answer) in enumerate(held):
         if answer:
-            by_answer.setdefault(max(answer, key=len), []).append(k_item)
-    answer_words = [frozenset(answer) for _, _, answer in held]
+            by_answer.setdefault(vocabulary[max(answer, key=len)], []).append(k_item)
+    keys_of_answers = np.zeros(len(vocabulary) + 1, bool)
+    keys_of_answers[list(by_answer)] = True
 
-    def answered(present: set[str]) -> set[int]:
-        return {k for w in present if w in by_answer for k in by_answer[w] if present.issuperset(answer_words[k])}
+    def answered(ids: np.ndarray) -> set[int]:
+        marks = np.unique(ids[keys_of_answers[ids]]).tolist()
+        if not marks:
+            return set()
+        present = {*ids.tolist()}
+        return {k for w in marks for k in by_answer[w] if present.issuperset(answers[k])}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t in zip(b["d"], b["t"], strict=True):
-                words = words_of(t)
-                ids = np.array([get(w, -1) for w in words], np.int64)
-                good = (ids >= 0) & weighty[ids]
+            for d, raw in zip(b["d"], b["ids"], strict=True):
+                small = np.frombuffer(raw, number)
+                ids = small.astype(np.int64)
+                good = weighty[ids]
                 hits = [(n, np.r_[0, np.cumsum(x)].tolist()) for n in lengths if (x := _hits(ids, n, hashed[n])).any()]
-                able = not by_answer.keys().isdisjoint(words)
+                able = bool(keys_of_answers[ids].any())
                 if not (hits or able or good.any()):
                     continue
-                for lo, hi in windows(len(words), length, stride):
-                    mine = ids[lo:hi][good[lo:hi]]
+                for lo, hi in windows(len(ids), length, stride):
+                    mine = small[lo:hi][good[lo:hi]]
                     if not (len(mine) or hits or able):
                         continue
-                    a, b = max(0, lo - margin), min(len(words), hi + margin)
+                    a, b = max(0, lo - margin), min(len(ids), hi + margin)
                     seeded = any(b - a >= n and c[b - n + 1] > c[a] for n, c in hits)
-                    if seeded or len(mine) or (able and answered({*words[a:b]})):
-                        rows.append((d, " ".join(words[a:b]), mine.astype(np.int32).tobytes(), seeded))
+                    if seeded or len(mine) or (able and answered(ids[a:b])):
+                        rows.append((d, small[a:b].tobytes(), np.sort(mine).astype(np.int32).tobytes(), seeded))
             yield pd.DataFrame(rows, columns=["d", "p", "ids", "seeded"])
 
-    passages = corpus.mapInPandas(cut, "d long, p string, ids binary, seeded boolean").checkpoint()
-    partitions = max(1, passages.rdd.getNumPartitions())
+    passages = coded.where(F.length("ids") > 0).select("d", "ids").mapInPandas(cut, "d long, p binary, ids binary, seeded boolean").checkpoint()
 
     spans = [[ws[lo:hi] for lo, hi in windows(len(ws), 24, 8)] for ws in own]
     window_ids = [[t for t in w if weighty[t]] for per in spans for w in per]
@@ -395,9 +434,11 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                     first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
                     acc[t[first]] += np.add.reduceat(back, first, axis=0)
                     n += len(ids)
-            yield pd.DataFrame({"m": [acc.astype(np.float32).tobytes()]})
+            yield _pieces(acc)
 
-        total_part = _sum_matrices(passages.where(F.length("ids") > 0).select("ids").mapInPandas(part, "m binary"), small.shape, partitions)
+        # several partitions a task, so that there are as many matrices as cores, however large the corpus
+        wide = passages.where(F.length("ids") > 0).select("ids").coalesce(2 * slots(spark))
+        total_part = _sum_matrices(wide.mapInPandas(part, "k int, m binary"), small.shape)
         mine = np.zeros(small.shape)
         starts = np.flatnonzero(np.r_[True, irow[1:] != irow[:-1]])
         z = np.add.reduceat(small[iterm] * iw[:, None], starts, axis=0)
@@ -442,8 +483,8 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
             for lo in range(0, len(b), 1024):
                 part = b.iloc[lo : lo + 1024]
                 # passages with the same weighted words have the same direction
-                codes, bags = pd.factorize(part["ids"].map(lambda x: np.sort(np.frombuffer(x, np.int32)).tobytes() if x else b""))
-                near = _unit(_latent([np.frombuffer(x, np.int32) if x else () for x in bags], idf, basis)) @ targets.T >= threshold
+                codes, bags = pd.factorize(part["ids"])
+                near = _unit(_latent([np.frombuffer(x, np.int32) for x in bags], idf, basis)) @ targets.T >= threshold
                 bag, win = np.nonzero(near)
                 pairs = np.unique(bag * len(held) + owner[win])
                 of_bag = np.split(pairs % len(held), np.searchsorted(pairs // len(held), np.arange(1, len(bags)))) if len(bags) else []
@@ -451,19 +492,19 @@ def _leaks_of(corpus: DataFrame, held: list, least: int, tolerance: int, length:
                 for k, c in enumerate(codes.tolist()):
                     if not (len(of_bag[c]) or marks[k] or faint or not bags[c]):
                         continue
-                    passage = texts[k].split(" ")
-                    if not marks[k] and by_answer.keys().isdisjoint(passage):
+                    ids = np.frombuffer(texts[k], number).astype(np.int64)
+                    able = answered(ids)
+                    if not marks[k] and not able:
                         continue
+                    passage = ids.tolist()
                     seeded: set[int] = set()
                     for n in lengths if marks[k] else ():
-                        for g in zip(*(passage[x:] for x in range(n))):
-                            if g in seeds:
-                                seeded |= seeds[g]
-                    able = answered({*passage})
+                        for at in np.flatnonzero(_hits(ids, n, hashed[n])).tolist():
+                            seeded |= seeds.get(tuple(passage[at : at + n]), set())
                     # without a direction the answers alone say what to compare
                     able &= {*of_bag[c].tolist(), *faint, *seeded} if bags[c] else able
                     for item in sorted(seeded | able):
-                        name, ws, _ = held[item]
+                        name, ws = held[item][0], own[item]
                         if (name, numbers[k], "passage") in rows:
                             continue
                         if item in seeded and aligned(ws, grams[item], passage, least, tolerance):
