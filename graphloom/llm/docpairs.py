@@ -14,10 +14,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.registry import shared_dir
 from graphloom.llm.written import NOTICES
+from graphloom.operators.repos import owned
 
 TAG = re.compile(
     r"^\s*(?:[@\\](?P<at>[A-Za-z][\w-]*)(?P<rest>.*)|:(?P<field>param|parameter|arg|argument|key|keyword|type|raises?|except|exception|var|ivar|cvar|vartype|returns?|rtype|meta|yields?|ytype|private|public)\b(?P<more>[^:]*):?(?P<tail>.*))$"
@@ -151,12 +153,31 @@ def tells(doc: str | None, name: str | None = None, signature: str | None = None
     return False
 
 
-def _python_doc(lines: list[str], at: int) -> str | None:
-    n = len(lines)
-    while at < n and lines[at].lstrip().startswith("@"):
+DECLARES = re.compile(r"\s*(?:async\s+)?(?:def|class)\b")
+DOC_STARTS = re.compile(r"(?:\s|#.*\n)*[rRuU]?(\"\"\"|'''|\"|')")
+DOC_ENDS = {q: re.compile(r"(?:[^\\]|\\[\s\S])*?" + q) for q in ('"""', "'''", '"', "'")}
+#: fixed values: what a line comment begins with, by language; others have // only
+LINE_COMMENTS = {"ruby": "#", "shell": "#", "bash": "#", "perl": "#", "r": "#", "yaml": "#", "elixir": "#", "php": "#", "sql": "--", "lua": "--", "haskell": "--", "ada": "--"}
+
+
+class Lines(list):
+    """The lines of a text, which also knows the text and where in it each line starts."""
+
+    def __init__(self, text: str) -> None:
+        super().__init__(text.split("\n") if text else [])
+        self.text = text
+        self.starts: list[int] = []
+        at = 0
+        for line in self:
+            self.starts.append(at)
+            at += len(line) + 1
+
+
+def _python_doc(lines: Lines, at: int) -> str | None:
+    while at < len(lines) and lines[at].lstrip().startswith("@"):
         at += 1
-    text = "\n".join(lines[at : at + 400])
-    m = re.match(r"\s*(?:async\s+)?(?:def|class)\b", text)
+    text = lines.text
+    m = DECLARES.match(text, lines.starts[at]) if at < len(lines) else None
     if not m:
         return None
     depth, i, quote = 0, m.end(), ""
@@ -180,15 +201,12 @@ def _python_doc(lines: list[str], at: int) -> str | None:
         elif c == ":" and depth <= 0:
             break
         i += 1
-    rest = "\n".join([text[i + 1 :], *lines[at + 400 :]]) if i < len(text) else ""
-    d = re.match(r"(?:\s|#.*\n)*[rRuU]?(\"\"\"|'''|\"|')", rest)
-    if not d:
-        return None
-    end = re.compile(r"(?:[^\\]|\\[\s\S])*?" + d[1]).match(rest, d.end())
-    return rest[d.end() : end.end() - len(d[1])] if end else None
+    d = DOC_STARTS.match(text, i + 1)
+    end = DOC_ENDS[d[1]].match(text, d.end()) if d else None
+    return text[d.end() : end.end() - len(d[1])] if end else None
 
 
-def _comment_above(lines: list[str], at: int) -> str | None:
+def _comment_above(lines: Lines, at: int, mark: str = "//") -> str | None:
     i = at - 1
     while i >= 0 and re.match(r"\s*(?:@\w|#!?\[|\[\[|template\s*<)", lines[i]):
         i -= 1
@@ -202,81 +220,108 @@ def _comment_above(lines: list[str], at: int) -> str | None:
         if j < 0 or lines[j].split("/*")[0].strip():
             return None
         return "\n".join(lines[j : i + 1])
-    if line.startswith("//"):
-        j = i
-        while j >= 0 and lines[j].strip().startswith("//"):
-            j -= 1
-        return "\n".join(lines[j + 1 : i + 1])
+    for m in {"//", mark}:
+        if line.startswith(m):
+            j = i
+            while j >= 0 and lines[j].strip().startswith(m):
+                j -= 1
+            return "\n".join(lines[j + 1 : i + 1])
     return None
 
 
-def doc_in_text(lines: list[str], start_line: int | None, language: str | None) -> str | None:
+def doc_in_text(lines: Lines | list[str], start_line: int | None, language: str | None) -> str | None:
     """The documentation that a file's lines hold for the declaration at ``start_line``; null if there is none."""
     if not start_line or start_line < 1 or start_line > len(lines):
         return None
+    if not isinstance(lines, Lines):
+        lines = Lines("\n".join(lines))
     if language == "python":
         return _python_doc(lines, start_line - 1)
+    mark = LINE_COMMENTS.get(language or "", "//")
     at = start_line - 1
     while at < len(lines) and re.match(r"\s*(?:@\w+(?:\([^)]*\))?\s*$|#!?\[.*\]\s*$)", lines[at]):  # begins at an annotation
         at += 1
-    return _comment_above(lines, start_line - 1) or (_comment_above(lines, at) if at != start_line - 1 else None)
+    return _comment_above(lines, start_line - 1, mark) or (_comment_above(lines, at, mark) if at != start_line - 1 else None)
 
 
-def documented(symbols: DataFrame, files: DataFrame, sources: DataFrame, with_code: bool = True) -> DataFrame:
+def documented(symbols: DataFrame, files: DataFrame, sources: DataFrame, per_row: int = 20_000) -> DataFrame:
     """Rows (id, file_id, name, start_line, documentation, told, code) of functions and methods.
 
     ``documentation`` is the symbol's own, cleaned of comment syntax, null where there is none; ``told`` says whether it
     tells something; ``code`` are the lines from start_line to end_line, null without a text or lines. Symbols without a
-    file or start line are left out, as they cannot be placed; repeated symbol rows stay.
+    file or start line are left out, as they cannot be placed; repeated symbol rows stay. The symbols of a file meet its
+    text in one row, or in as many rows as hold about ``per_row`` of them each.
     """
     wanted = symbols.where(F.col("kind").isin("function", "method") & F.col("file_id").isNotNull() & F.col("start_line").isNotNull())
     one = F.struct(*[F.col(c) for c in ("id", "name", "start_line", "end_line", "docstring", "signature")])
-    per_file = wanted.groupBy("file_id").agg(F.collect_list(one).alias("s"))
+    large = wanted.groupBy("file_id").agg(F.ceil(F.count(F.lit(1)) / per_row).cast("int").alias("rows")).where("rows > 1").checkpoint()
+    if large.isEmpty():
+        per_file = wanted.groupBy("file_id").agg(F.collect_list(one).alias("s"))
+    else:
+        split = wanted.join(large, "file_id", "left").withColumn("part", F.pmod(F.xxhash64("id", "start_line"), F.coalesce("rows", F.lit(1))))
+        per_file = split.groupBy("file_id", "part").agg(F.collect_list(one).alias("s")).drop("part")
     texts = files.select(F.col("id").alias("file_id"), "path", "language").join(sources.select("path", "text"), "path", "left").select("file_id", "language", "text")
     rows = per_file.join(texts, "file_id", "left").select("file_id", "language", "text", "s")
-    schema = "id long, file_id long, name string, start_line int, documentation string, told boolean" + (", code string" if with_code else "")
+    schema = "id long, file_id long, name string, start_line int, documentation string, told boolean, code string"
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for file_id, language, text, found in zip(b["file_id"], b["language"], b["text"], b["s"], strict=True):
-                lines = text.split("\n") if text else []
+                lines = Lines(text or "")
                 for s in found:
                     doc = s["docstring"]
                     if doc is None:
                         doc = doc_in_text(lines, s["start_line"], language)
-                    told = tells(doc, s["name"], s["signature"])
-                    row = [s["id"], file_id, s["name"], s["start_line"], unmark(doc).strip() if doc is not None and with_code else None, told]
-                    if with_code:
-                        end = s["end_line"] if s["end_line"] is not None else s["start_line"]
-                        row.append("\n".join(lines[max(0, s["start_line"] - 1) : int(end)]) if lines else None)
-                    out.append(row)
-            yield pd.DataFrame(out, columns=["id", "file_id", "name", "start_line", "documentation", "told", *(["code"] if with_code else [])])
+                    end = s["end_line"] if s["end_line"] is not None else s["start_line"]
+                    code = "\n".join(lines[max(0, s["start_line"] - 1) : int(end)]) if lines else None
+                    out.append((s["id"], file_id, s["name"], s["start_line"], unmark(doc).strip() if doc is not None else None, tells(doc, s["name"], s["signature"]), code))
+            yield pd.DataFrame(out, columns=["id", "file_id", "name", "start_line", "documentation", "told", "code"])
 
     return rows.mapInPandas(look, schema)
 
 
-def resolve_inherited(docs: DataFrame, edges: DataFrame, steps: int = 6) -> DataFrame:
+def resolve_inherited(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (id, documentation, inherited_from) for those methods of ``docs`` without telling documentation that override
     a documented one.
 
-    A method is named Class.method; edges of kind extends and implements lead from a class to its bases, by name. Each
-    step goes one class up and joins the base's method; the nearest base wins, the smallest id among homonyms. Cycles
-    end, as nothing is looked for beyond ``steps`` classes.
+    A method is named Class.method; ``edges`` of kind extends and implements lead from a class to its bases, by name,
+    within a ``scope`` (a repository) that both ``docs`` and ``edges`` have as a column, so that classes of one name in
+    different repositories are not taken for each other. Each step goes one class up and joins the base's method; the
+    nearest base wins, the first in alphabetical order among bases as near, the smallest id among homonyms. It ends when
+    no method has a base left that it has not met, so cycles end and no depth is lost.
     """
     method = F.regexp_extract("name", r"([^.:]+)$", 1)
     owner = F.regexp_extract("name", r"([^.:]+)(?:\.|::)[^.:]+$", 1)
-    named = docs.select("id", "told", "documentation", method.alias("method"), owner.alias("owner")).where(F.col("owner") != "")
-    first = Window.partitionBy("owner", "method").orderBy("id")
-    best = named.where("told").withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("owner").alias("base"), "method", "documentation")
-    up = edges.where(F.col("kind").isin("extends", "implements") & (F.col("source_name") != F.col("target_name"))).select(F.col("source_name").alias("owner"), F.col("target_name").alias("base")).distinct()
-    left = named.where(~F.col("told")).select("id", "method", "owner")
-    out = None
-    for step in range(steps):
-        reached = left.join(up, "owner").join(best, ["base", "method"], "left")
+    named = docs.select("id", F.coalesce("scope", F.lit("")).alias("scope"), "told", "documentation", method.alias("method"), owner.alias("owner")).where(F.col("owner") != "")
+    best = named.where("told").groupBy("scope", F.col("owner").alias("base"), "method").agg(F.min_by("documentation", "id").alias("documentation"))
+    up = edges.where(F.col("kind").isin("extends", "implements") & (F.col("source_name") != F.col("target_name")))
+    up = up.select(F.coalesce("scope", F.lit("")).alias("scope"), F.col("source_name").alias("owner"), F.col("target_name").alias("base")).distinct().checkpoint()
+    left = named.where(~F.col("told")).select("id", "scope", "method", "owner").join(up.select("scope", "owner").distinct(), ["scope", "owner"], "left_semi").checkpoint()
+    met, out = left.select("id", F.col("owner").alias("base")), None
+    while not left.isEmpty():
+        reached = left.join(up, ["scope", "owner"]).select("id", "scope", "method", "base").distinct().join(met, ["id", "base"], "left_anti")
+        reached = reached.join(best, ["scope", "base", "method"], "left").checkpoint()
         hit = reached.where(F.col("documentation").isNotNull()).groupBy("id").agg(F.min_by(F.struct("documentation", "base"), "base").alias("d"))
-        found = hit.select("id", F.col("d.documentation").alias("documentation"), F.col("d.base").alias("inherited_from"), F.lit(step).alias("step"))
+        found = hit.select("id", F.col("d.documentation").alias("documentation"), F.col("d.base").alias("inherited_from"))
         out = found if out is None else out.unionByName(found)
-        left = reached.join(hit.select("id"), "id", "left_anti").select("id", "method", F.col("base").alias("owner")).distinct()
-    nearest = out.groupBy("id").agg(F.min_by(F.struct("documentation", "inherited_from"), "step").alias("d"))
-    return nearest.select("id", "d.documentation", "d.inherited_from")
+        met = met.unionByName(reached.select("id", "base"))
+        left = reached.join(hit.select("id"), "id", "left_anti").select("id", "scope", "method", F.col("base").alias("owner")).checkpoint()
+    return docs.sparkSession.createDataFrame([], "id long, documentation string, inherited_from string") if out is None else out
+
+
+def code_pairs(symbols: DataFrame, files: DataFrame, sources: DataFrame, edges: DataFrame, repos: DataFrame) -> DataFrame:
+    """Rows (id, file_id, name, start_line, code, documentation, inherited_from) of the functions and methods that have
+    documentation which tells something, their own (``inherited_from`` is null) or that of the method they override.
+
+    Functions without a text have a null ``code``; repeated symbol rows all come out; empty tables give no rows.
+    """
+    shared_dir(symbols.sparkSession)
+    home = owned(files, repos).select(F.col("id").alias("file_id"), F.col("repo_alias").alias("scope"))
+    docs = documented(symbols, files, sources).checkpoint()
+    own = docs.where("told").select("id", "file_id", "name", "start_line", "code", "documentation", F.lit(None).cast("string").alias("inherited_from"))
+    narrow = docs.select("id", "file_id", "name", "told", F.when(F.col("told"), F.col("documentation")).alias("documentation"))
+    links = edges.where(F.col("kind").isin("extends", "implements"))
+    found = resolve_inherited(narrow.join(home, "file_id", "left"), links.join(home, "file_id", "left"))
+    more = docs.where(~F.col("told")).drop("documentation").join(found, "id").select(*own.columns)
+    return own.unionByName(more)

@@ -3,23 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from graphloom.llm.docpairs import documented, resolve_inherited
+from graphloom.llm.docpairs import code_pairs
 from graphloom.llm.registry import query, table
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_pairs(*(table(spark, sf_dir, t) for t in ("symbols", "files", "file_sources", "edges", "workspace_repos")))
+
+
 @query("p3_found")
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions and methods whose own documentation tells something."""
-    docs = documented(*(table(spark, sf_dir, t) for t in ("symbols", "files", "file_sources")), with_code=False)
-    return docs.where("told").select("file_id", "start_line").distinct()
+    """The pairs' functions and methods whose own documentation tells something (inherited text is kept elsewhere)."""
+    return _pairs(spark, sf_dir).where("inherited_from IS NULL").select("file_id", "start_line").distinct()
 
 
 @query("p3_pairs")
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and documentation of every function and method that has one, its own or that of the method it overrides."""
-    docs = documented(*(table(spark, sf_dir, t) for t in ("symbols", "files", "file_sources")))
-    own = docs.where("told").select("id", "file_id", "name", "start_line", "code", "documentation", F.lit(None).cast("string").alias("inherited_from"))
-    more = docs.drop("documentation").join(resolve_inherited(docs, table(spark, sf_dir, "edges")), "id").select(*own.columns)
-    return own.unionByName(more).where(F.col("code").isNotNull()).dropDuplicates(["file_id", "start_line", "name"])
+    return _pairs(spark, sf_dir).where("code IS NOT NULL").dropDuplicates(["file_id", "start_line", "name"])

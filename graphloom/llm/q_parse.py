@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.grammar import GRAMMARS
 from graphloom.llm.parse import broken_files, language_name
 from graphloom.llm.registry import query, table
+from graphloom.operators.repos import owned
 
 
 @query("p4_found")
@@ -17,22 +19,22 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rates(spark: SparkSession, sf_dir: str, claimed: bool) -> DataFrame:
     files, sources, repos = (table(spark, sf_dir, t) for t in ("files", "file_sources", "workspace_repos"))
-    judged = files.join(sources.where(F.col("text").isNotNull()).select("path"), "path", "left_semi")
+    judged = files.where(F.col("language").isin(list(GRAMMARS))).join(sources.where(F.col("text").isNotNull()).select("path"), "path", "left_semi")
     judged = judged.join(broken_files(files, sources).select("id", F.lit(1).alias("broken")), "id", "left")
-    # a root is a path's first folders, as many as the root has: an equality, not a scan of all roots
-    deep = [r[0] for r in repos.select(F.size(F.split("repo_root", "/")).alias("n")).distinct().orderBy("n").collect()]
-    keys = F.explode(F.array(*[F.concat_ws("/", F.slice(F.split("path", "/"), 1, n)) for n in deep]))
-    owned = judged.select("*", keys.alias("repo_root")).join(repos, "repo_root")
+    owned_files = judged.join(owned(files, repos).select("id", "repo_alias"), "id")
     if claimed:
         claims = table(spark, sf_dir, "suspect_candidates").select(F.col("file").alias("path"), language_name(F.col("language")).alias("language")).distinct()
-        owned = owned.drop("language").join(claims, "path")
-    out = owned.groupBy("repo_alias", "language").agg(F.count(F.lit(1)).alias("files"), F.count("broken").alias("broken"))
+        owned_files = owned_files.drop("language").join(claims, "path")
+    out = owned_files.groupBy("repo_alias", "language").agg(F.count(F.lit(1)).alias("files"), F.count("broken").alias("broken"))
     return out.withColumn("share", F.round(F.col("broken") / F.col("files"), 6))
 
 
 @query("p4_rates")
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a text, those that do not parse and their share, per repository and language."""
+    """Files with a text, those that do not parse and their share, per repository (null: under no root) and language.
+
+    Files of a language without a grammar here are not judged and so not counted.
+    """
     return _rates(spark, sf_dir, False)
 
 
