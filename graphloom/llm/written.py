@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.registry import shared_dir
+
 #: phrases of notices, lower case, and what they say of the file
 NOTICES = {
     "generated": (
@@ -84,25 +86,29 @@ def by_path(path: str) -> str | None:
 
 
 def is_compacted(text: str) -> bool:
-    """Long, dense lines all through: code that a program has squeezed."""
+    """Long, dense lines all through: code that a program has squeezed.
+
+    A short text must be nearly one line, with hardly a blank and much punctuation, to tell it from terse hand-writing.
+    """
     body = [x for x in FREE.sub("", text).splitlines() if x.strip()]
     size = sum(map(len, body))
-    if size < 400:
-        return False
-    long = sum(len(x) for x in body if len(x) > 200)
     joined = "".join(body)
     blanks = sum(joined.count(c) for c in " \t")
+    if size < 400:
+        signs = sum(joined.count(c) for c in "(){}[];,=!&|")
+        return size >= 120 and max(map(len, body)) >= 0.8 * size and blanks <= 0.06 * size and signs >= 0.15 * size
+    long = sum(len(x) for x in body if len(x) > 200)
     return long >= 0.8 * size and blanks <= 0.09 * size
 
 
 def is_data(text: str) -> bool:
-    """Hardly anything but literals, and many of them."""
+    """Hardly anything but literals: very many of them, or few that are very long."""
     body = FREE.sub("", text)
     strings = STRING.findall(body)
     bare = STRING.sub(" ", body)
     numbers, words = len(NUMBER.findall(bare)), len(WORD.findall(NUMBER.sub(" ", bare)))
-    literals = len(strings) + numbers
-    return literals >= 80 and words <= 0.12 * literals
+    literals, held = len(strings) + numbers, sum(map(len, strings))
+    return (literals >= 80 and words <= 0.12 * literals) or (held >= 4000 and held >= 0.9 * len(body) and words <= 30)
 
 
 def judge(path: str | None, text: str | None) -> tuple[str | None, str | None]:
@@ -133,7 +139,7 @@ def judge(path: str | None, text: str | None) -> tuple[str | None, str | None]:
     return ("data" if is_data(text) else None), body
 
 
-def not_handwritten(files: DataFrame, sources: DataFrame, id_col: str = "id", path_col: str = "path", text_path: str = "path", text_col: str = "text", least_copy: int = 120) -> DataFrame:
+def not_handwritten(files: DataFrame, sources: DataFrame, id_col: str = "id", path_col: str = "path", text_path: str = "path", text_col: str = "text", least_copy: int = 60) -> DataFrame:
     """Rows (id, reason) of the files that are not hand-written: generated, compacted, third_party or data.
 
     A file without text, or with a null or empty one, is judged by its path; a null path and pseudo files, whose path
@@ -151,7 +157,11 @@ def not_handwritten(files: DataFrame, sources: DataFrame, id_col: str = "id", pa
             codes = [xxhash.xxh3_64_intdigest(c.replace("\r\n", "\n")) - (1 << 63) if c and len(c) >= least_copy else None for _, c in found]
             yield pd.DataFrame({"id": b["id"], "reason": [r for r, _ in found], "code": pd.array(codes, dtype="Int64")})
 
-    looked = f.join(s, "path", "left").mapInPandas(look, "id long, reason string, code long")
-    foreign = looked.where((F.col("reason") == "third_party") & F.col("code").isNotNull()).select("code").distinct().withColumn("foreign", F.lit(True))
-    whole = looked.join(foreign, "code", "left").select("id", F.coalesce("reason", F.when(F.col("foreign"), "third_party")).alias("reason"))
-    return whole.where(F.col("reason").isNotNull()).groupBy("id").agg(F.min("reason").alias("reason"))
+    shared_dir(files.sparkSession)
+    # both branches below read what was looked at: without the cut every text would be judged twice
+    looked = f.join(s, "path", "left").mapInPandas(look, "id long, reason string, code long").checkpoint()
+    foreign = looked.where((F.col("reason") == "third_party") & F.col("code").isNotNull()).select("code").distinct()
+    few = foreign.count() <= 500_000  # 4 MB
+    copies = looked.where(F.col("reason").isNull() & F.col("code").isNotNull()).join(F.broadcast(foreign) if few else foreign, "code", "left_semi")
+    told = looked.where(F.col("reason").isNotNull()).select("id", "reason").unionByName(copies.select("id", F.lit("third_party").alias("reason")))
+    return told.groupBy("id").agg(F.min("reason").alias("reason"))
