@@ -1,19 +1,23 @@
 """The k most similar vectors of every vector, by collision counting on single projections.
 
-1. Exact copies of a vector can only be told apart by id, so only the k+1 smallest ids of each copy class (its heads)
-   take part as candidates; every further copy is answered by the first k heads of its own class.
+1. Vectors of one direction, whatever their lengths, can only be told apart by id, so only the k+1 smallest ids of each
+   such class (its heads) take part as candidates; every further member is answered by the first k heads of its own
+   class. Directions are compared as 16-bit integers, by two independent 64-bit hashes of all of them.
 2. Heads are routed: each goes to the cells whose pivot it projects on most, ``routes`` of them and more the more pivots
-   there are (``routes_among``), so that recall does not fall with size. Pivots are a bounded sample of the vectors
-   (``max_pivots`` a group at most), all heads are indexed. A cell of more than ``max_cell`` heads is split by a second
-   routing of what is left of its vectors beside the pivot, among pivots drawn from its own heads.
+   there are (``routes_among``), so that recall does not fall with size. Pivots are a bounded sample of the vectors, all
+   heads are indexed. A cell of more than ``max_cell`` heads is routed again by what is left of its vectors beside their
+   mean, among pivots drawn from its own heads, and again if need be; what is still too large after ``depth`` rounds is
+   compared block by block, each two of its blocks in a task of their own.
 3. In a cell, every vector is projected on ``projections`` random lines and each line's values are sorted. A query
    centres a window on its own value in each sorted array; the window is widened by virtual rehashing from one radius
    to the next until the query has k neighbours inside the radius or the last radius, that of ``min_similarity``, is
-   done. Vectors that share at least ``collisions`` windows with it are verified by their exact cosine.
+   done. Vectors that share at least ``collisions`` windows with it are verified by their cosine. A window holds up to
+   half of a cell, so collisions are counted for all of a cell at once, by comparing places in the sorted arrays.
 4. A vector's candidates from its cells are merged, best first, ties by smaller id.
 
-Shuffled are the heads once for each cell they are routed to, and beside that only ids and hashes, unless very many copy
-classes have more than k members.
+Shuffled are the heads once for each cell they are routed to, as 16-bit integers scaled to the largest component (which
+moves a cosine by less than 0.00001), and beside that only ids and hashes, unless very many classes have more than k
+members.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.registry import shared_dir
 
+MAX_PIVOT_BYTES = 128 << 20  # of all pivots of one round together, which the driver sends to the executors
 WIDEN = 0.75  # the similarity of the last radius where none is asked for
 WIDTH = 1.5  # half a window, in radii: a pair at the radius shares 87 % of the windows
 
@@ -48,8 +53,15 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _beside(x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    return x - np.outer(x @ pivot, pivot) / float(pivot @ pivot)
+def _codes(unit: np.ndarray) -> pa.Array:
+    q = np.rint(unit * (32767 / np.abs(unit).max(axis=1, keepdims=True))).astype("<i2")
+    offsets = np.arange(len(q) + 1, dtype=np.int32) * (2 * q.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(q))])
+
+
+def _decoded(codes: list[bytes], dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(codes), "<i2").reshape(-1, dim).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _top(p: np.ndarray, r: int) -> np.ndarray:
@@ -61,40 +73,64 @@ def routes_among(pivots: int, routes: int) -> int:
     return routes + max(0, (max(pivots, 1) // 32).bit_length() - 1) // 2
 
 
-def router(pivots: dict[tuple[str, int], np.ndarray], routes: int, split: dict[tuple[str, int, int], np.ndarray], with_vectors: bool):
-    """A mapInArrow function: each row once for each cell it is routed to."""
+CELLS = "grp string, dim int, cell string, id long, code binary"
+
+
+def router(pivots: dict[tuple[str, int], np.ndarray], routes: int):
+    """A mapInArrow function on (grp, dim, id, vec): each row once for each cell it is routed to."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy(zero_copy_only=False)
             names = np.asarray(batch.column("grp").to_pylist(), dtype=object)
             for key in {*zip(names.tolist(), dims.tolist(), strict=True)}:
-                at = np.flatnonzero((names == key[0]) & (dims == key[1]))
-                rows = batch.take(pa.array(at))
-                x, piv = _unit(rows.column("vec"), key[1]), pivots[key]
-                cells = _top(x @ piv.T, routes_among(len(piv), routes))
-                at = np.repeat(np.arange(len(x)), cells.shape[1])
-                cell, sub = cells.ravel(), np.zeros(cells.size, np.int64)
-                for c in {c for c in np.unique(cell).tolist() if (*key, c) in split}:
-                    mine = np.flatnonzero(cell == c)
-                    lines = _beside(split[(*key, c)], piv[c])
-                    lines /= np.maximum(np.linalg.norm(lines, axis=1, keepdims=True), 1e-6)
-                    more = _top(_beside(x[at[mine]], piv[c]) @ lines.T, routes_among(len(lines), routes))
-                    sub[mine] = more[:, 0]
-                    at, cell = np.append(at, np.repeat(at[mine], more.shape[1] - 1)), np.append(cell, np.full(mine.size * (more.shape[1] - 1), c))
-                    sub = np.append(sub, more[:, 1:].ravel())
-                out = [pa.array([key[0]] * len(at)), pa.array(np.full(len(at), key[1], np.int32)), pa.array(cell.astype(np.int32)), pa.array(sub.astype(np.int32))]
-                fields = ["grp", "dim", "cell", "sub"]
-                if with_vectors:
-                    raw = np.ascontiguousarray(x[at])
-                    offsets = np.arange(len(at) + 1, dtype=np.int32) * (4 * key[1])
-                    out += [rows.column("id").take(pa.array(at)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])]
-                    fields += ["id", "unit"]
-                yield pa.RecordBatch.from_arrays(out, names=fields)
+                rows = batch.take(pa.array(np.flatnonzero((names == key[0]) & (dims == key[1]))))
+                x = _unit(rows.column("vec"), key[1])
+                cells = _top(x @ pivots[key].T, routes_among(len(pivots[key]), routes))
+                at = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
+                out = [pa.array([key[0]] * len(at)), pa.array(np.full(len(at), key[1], np.int32)), pa.array(cells.ravel()).cast(pa.string()), rows.column("id").take(at), _codes(x).take(at)]
+                yield pa.RecordBatch.from_arrays(out, names=["grp", "dim", "cell", "id", "code"])
 
     return route
 
 
+def again(pivots: dict[tuple[str, int, str], np.ndarray], routes: int):
+    """A mapInArrow function on rows of cells: those of crowded cells once for each smaller cell they are routed to."""
+    centred = {}
+    for key, p in pivots.items():
+        mean = p.mean(axis=0)
+        lines = p - mean
+        centred[key] = mean, lines / np.maximum(np.linalg.norm(lines, axis=1, keepdims=True), 1e-6)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("grp", "dim", "cell")), strict=True))
+            places: dict[tuple, list[int]] = {}
+            for k, key in enumerate(keys):
+                places.setdefault(key, []).append(k)
+            for key, mine in places.items():
+                rows = batch.take(pa.array(mine))
+                mean, lines = centred[key]
+                cells = _top((_decoded(rows.column("code").to_pylist(), key[1]) - mean) @ lines.T, routes_among(len(lines), routes))
+                at = pa.array(np.repeat(np.arange(len(mine)), cells.shape[1]))
+                names = pa.array([f"{key[2]}.{c}" for c in cells.ravel().tolist()])
+                out = [pa.array([key[0]] * len(at)), pa.array(np.full(len(at), key[1], np.int32)), names, rows.column("id").take(at), rows.column("code").take(at)]
+                yield pa.RecordBatch.from_arrays(out, names=["grp", "dim", "cell", "id", "code"])
+
+    return route
+
+
+def _in_blocks(dense: DataFrame, max_cell: int) -> DataFrame:
+    """Rows of cells (with ``n``, the rows in the cell) that no pivot could divide: once for each other block of the cell, so
+    that every two rows meet in a task of at most about ``max_cell`` rows."""
+    blocks = F.greatest(F.lit(2), F.ceil(2 * F.col("n") / max_cell)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    placed = dense.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.concat_ws("/", "cell", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    # a block meets itself wherever it meets another
+    return placed.where("own <> other").select("grp", "dim", name.alias("cell"), "id", "code")
+
+
 def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, place of the neighbour, similarity), exact: up to k neighbours a query, ties by smaller id."""
     s = np.round(queries.astype(np.float64) @ x.astype(np.float64).T, 7)
@@ -165,7 +201,7 @@ def collide(ids: np.ndarray, x: np.ndarray, k: int, min_similarity: float | None
 
 def similar_vectors(
     df: DataFrame, id_col: str, group_col: str, vector_col: str, dim_col: str | None = None, k: int = 5, min_similarity: float | None = 0.75,
-    routes: int = 3, per_pivot: int = 256, max_pivots: int = 8192, max_cell: int = 16_384, projections: int = 32, collisions: int = 24, seed: int = 7,
+    routes: int = 3, per_pivot: int = 256, max_pivots: int = 8192, max_cell: int = 16_384, projections: int = 32, collisions: int = 24, seed: int = 7, depth: int = 4,
 ) -> DataFrame:
     """Rows (grp, id, neighbour, similarity): for each usable vector its k most similar ones of the same group with a
     cosine of at least ``min_similarity``, ties by smaller id; found with a recall below 1, see the README. Without a
@@ -182,49 +218,64 @@ def similar_vectors(
     if not sizes:
         return spark.createDataFrame([], schema)
     wanted = {g: min(max_pivots, max(routes, n // per_pivot)) for g, n in sizes.items()}
+    over = max(1.0, sum(4 * g[1] * w for g, w in wanted.items()) / MAX_PIVOT_BYTES)
+    wanted = {g: max(1, int(w / over)) for g, w in wanted.items()}
     shares = spark.createDataFrame([(g, d, 1.5 * wanted[g, d] / n) for (g, d), n in sizes.items()], "grp string, dim int, share double")
     lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn: dict[tuple[str, int], dict[int, list[float]]] = {}
+    drawn: dict[tuple[str, int], dict[int, np.ndarray]] = {}
     for r in rows.join(F.broadcast(shares), ["grp", "dim"]).where(lot < F.col("share")).select("grp", "dim", "id", "vec", lot.alias("lot")).orderBy("lot").toLocalIterator():
         mine = drawn.setdefault((r["grp"], r["dim"]), {})
         if len(mine) < wanted[r["grp"], r["dim"]]:
-            mine[r["id"]] = r["vec"]
+            mine[r["id"]] = np.array(r["vec"], np.float32)
     pivots = {g: _unit(pa.array(list(drawn[g].values()), pa.list_(pa.float32())), g[1]) if drawn.get(g) else np.eye(1, g[1], dtype=np.float32) for g in sizes}
 
     shared_dir(spark)
-    copies = Window.partitionBy("grp", "dim", "copy").orderBy("id")
-    keyed = rows.withColumn("copy", F.xxhash64("vec"))
-    first = keyed.select("grp", "dim", "copy", "id").distinct().withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1)
-    full = first.groupBy("grp", "dim", "copy").agg(F.array_sort(F.collect_set("id")).alias("h")).where(F.size("h") > k).checkpoint()
-    lasts = full.select("grp", "dim", "copy", F.element_at("h", -1).alias("last"))
-    heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "copy"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
-    plan = "grp string, dim int, cell int, sub int"
-    crowded = heads.mapInArrow(router(pivots, routes, {}, False), plan).groupBy("grp", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell)
-    crowds = {(r["grp"], r["dim"], r["cell"]): min(max_pivots, -(-r["n"] // per_pivot)) / r["n"] for r in crowded.collect()}  # at most routes / max_cell of the heads
-    split: dict[tuple[str, int, int], np.ndarray] = {}
-    if crowds:
-        shares = spark.createDataFrame([(*c, share) for c, share in crowds.items()], "grp string, dim int, cell int, share double")
-        inside = heads.mapInArrow(router(pivots, routes, {}, True), plan + ", id long, unit binary").join(F.broadcast(shares), ["grp", "dim", "cell"])
+    copies = Window.partitionBy("grp", "dim", "c1", "c2").orderBy("id")
+    # the direction as integers, the same for all lengths but for the last digit of some
+    largest = F.array_max(F.transform("vec", lambda x: F.abs(x))).cast("double")
+    direction = F.transform("vec", lambda x: F.rint(x / F.col("largest") * 32767).cast("int"))
+    keyed = rows.withColumn("largest", largest).withColumn("direction", direction).select("grp", "dim", "id", "vec", F.xxhash64("direction").alias("c1"), F.xxhash64(F.lit(seed), "direction").alias("c2"))
+    first = keyed.select("grp", "dim", "c1", "c2", "id").distinct().withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1)
+    full = first.groupBy("grp", "dim", "c1", "c2").agg(F.array_sort(F.collect_set("id")).alias("h")).where(F.size("h") > k).checkpoint()
+    lasts = full.select("grp", "dim", "c1", "c2", F.element_at("h", -1).alias("last"))
+    heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "c1", "c2"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
+
+    open_, cells = heads.mapInArrow(router(pivots, routes), CELLS), None
+    for level in range(depth + 1):
+        # at most (rows * routes / max_cell) of them
+        crowds = {(r["grp"], r["dim"], r["cell"]): r["n"] for r in open_.groupBy("grp", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell).collect()}
+        if not crowds:
+            cells = open_ if cells is None else cells.unionByName(open_)
+            break
+        want = {c: min(max_pivots, max(2, -(-n // per_pivot))) for c, n in crowds.items()}
+        over = max(1.0, sum(4 * c[1] * w for c, w in want.items()) / MAX_PIVOT_BYTES)
+        listed = spark.createDataFrame([(*c, n, max(2, want[c] / over) / n) for c, n in crowds.items()], "grp string, dim int, cell string, n long, share double")
+        calm = open_.join(F.broadcast(listed), ["grp", "dim", "cell"], "left_anti")
+        cells = calm if cells is None else cells.unionByName(calm)
+        dense = open_.join(F.broadcast(listed), ["grp", "dim", "cell"])
+        if level == depth:
+            cells = cells.unionByName(_in_blocks(dense, max_cell))
+            break
         own_lot = F.pmod(F.xxhash64("id", "cell", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-        sample: dict[tuple[str, int, int], list[bytes]] = {}
-        for r in inside.where(own_lot < F.col("share")).orderBy("grp", "dim", "cell", "id").toLocalIterator():
-            sample.setdefault((r["grp"], r["dim"], r["cell"]), []).append(bytes(r["unit"]))
-        split = {c: np.frombuffer(b"".join(v), np.float32).reshape(-1, c[1]) for c, v in sample.items()}
-    cells = heads.mapInArrow(router(pivots, routes, split, True), plan + ", id long, unit binary")
+        sample: dict[tuple[str, int, str], list[bytes]] = {c: [] for c in crowds}
+        for r in dense.where(own_lot < F.col("share")).select("grp", "dim", "cell", "code").toLocalIterator():
+            sample[r["grp"], r["dim"], r["cell"]].append(bytes(r["code"]))
+        lines = {c: _decoded(v, c[1]) if v else np.eye(1, c[1], dtype=np.float32) for c, v in sample.items()}
+        open_ = dense.select("grp", "dim", "cell", "id", "code").mapInArrow(again(lines, routes), CELLS)
 
     def search(t: pa.Table) -> pa.Table:
         ids, at = np.unique(t.column("id").to_numpy(), return_index=True)
-        x = np.frombuffer(b"".join(t.column("unit").take(pa.array(at)).to_pylist()), np.float32).reshape(len(ids), -1)
+        x = _decoded(t.column("code").take(pa.array(at)).to_pylist(), t.column("dim")[0].as_py())
         a, b, s = collide(ids, x, k, min_similarity, projections, collisions, seed)
         return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), pa.string()), "id": a, "neighbour": b, "similarity": s})
 
-    near = cells.groupBy("grp", "dim", "cell", "sub").applyInArrow(search, schema)
+    near = cells.groupBy("grp", "dim", "cell").applyInArrow(search, schema)
     best = _merged(near, k)
     if min_similarity is None:
         best = best.checkpoint()
         best = best.where(F.size("b") == k).unionByName(_short(heads, best, k))
     own = best.select("grp", "id", F.explode("b").alias("b")).select("grp", "id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.s")).alias("similarity"))
-    rest = keyed.select("grp", "dim", "copy", "id").join(full, ["grp", "dim", "copy"]).where(F.col("id") > F.element_at("h", -1)).distinct()
+    rest = keyed.select("grp", "dim", "c1", "c2", "id").join(full, ["grp", "dim", "c1", "c2"]).where(F.col("id") > F.element_at("h", -1)).distinct()
     tails = rest.select("grp", "id", F.explode(F.slice("h", 1, k)).alias("neighbour"), F.lit(1.0).alias("similarity"))
     return own.unionByName(tails)
 

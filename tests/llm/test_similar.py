@@ -111,3 +111,29 @@ def test_without_a_least_similarity_every_vector_has_k_neighbours(spark):
     for i in range(120):
         s = np.sort(np.delete(unit @ unit[i], i))[::-1][:5]
         assert np.allclose(sorted(one[i], reverse=True), s, atol=1e-5) or one[i][0] >= 0.75
+
+
+def test_scaled_copies_are_one_class(spark):
+    rng = np.random.default_rng(12)
+    x = clusters(rng, 40, 8, 48)
+    copies = np.tile(x[:1], (50_000, 1)) * rng.uniform(0.1, 9, (50_000, 1)).astype(np.float32)
+    every = np.concatenate([x, copies])
+    df = spark.createDataFrame([(i, "m", 48, v, "x") for i, v in enumerate(every.tolist())], SCHEMA)
+    got = similar_vectors(df, "symbol_id", "model", "vector", "dim")
+    per = {r["id"]: r["n"] for r in got.groupBy("id").count().withColumnRenamed("count", "n").collect()}
+    assert all(per[i] == 5 for i in range(320, len(every)))
+    near = {}
+    for r in got.where("id < 320").collect():
+        near.setdefault(r["id"], set()).add(r["neighbour"])
+    assert near[0] == {320, 321, 322, 323, 324}
+    far = [i for i in range(8, 320)]
+    want = brute(np.arange(320), x, 5, 0.75)
+    assert len({(min(a, b), max(a, b)) for a in far for b in near.get(a, ())} & want) >= 0.95 * len({p for p in want if p[0] >= 8})
+
+
+def test_what_pivots_cannot_divide_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(13)
+    x = clusters(rng, 60, 8, 48)
+    df = spark.createDataFrame([(i, "m", 48, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in similar_pairs(similar_vectors(df, "symbol_id", "model", "vector", "dim", routes=1, max_pivots=1, max_cell=40, depth=0, projections=1, collisions=0)).collect()}
+    assert got == brute(np.arange(len(x)), x, 5, 0.75)
