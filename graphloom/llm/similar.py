@@ -213,22 +213,6 @@ def similar_vectors(
     """
     rows = usable(df, id_col, group_col, vector_col, dim_col)
     spark = df.sparkSession
-    sizes = {(r["grp"], r["dim"]): r["n"] for r in rows.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model
-    schema = "grp string, id long, neighbour long, similarity double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    wanted = {g: min(max_pivots, max(routes, n // per_pivot)) for g, n in sizes.items()}
-    over = max(1.0, sum(4 * g[1] * w for g, w in wanted.items()) / MAX_PIVOT_BYTES)
-    wanted = {g: max(1, int(w / over)) for g, w in wanted.items()}
-    shares = spark.createDataFrame([(g, d, 1.5 * wanted[g, d] / n) for (g, d), n in sizes.items()], "grp string, dim int, share double")
-    lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn: dict[tuple[str, int], dict[int, np.ndarray]] = {}
-    for r in rows.join(F.broadcast(shares), ["grp", "dim"]).where(lot < F.col("share")).select("grp", "dim", "id", "vec", lot.alias("lot")).orderBy("lot").toLocalIterator():
-        mine = drawn.setdefault((r["grp"], r["dim"]), {})
-        if len(mine) < wanted[r["grp"], r["dim"]]:
-            mine[r["id"]] = np.array(r["vec"], np.float32)
-    pivots = {g: _unit(pa.array(list(drawn[g].values()), pa.list_(pa.float32())), g[1]) if drawn.get(g) else np.eye(1, g[1], dtype=np.float32) for g in sizes}
-
     shared_dir(spark)
     copies = Window.partitionBy("grp", "dim", "c1", "c2").orderBy("id")
     # the direction as integers, the same for all lengths but for the last digit of some
@@ -240,6 +224,23 @@ def similar_vectors(
     lasts = full.select("grp", "dim", "c1", "c2", F.element_at("h", -1).alias("last"))
     heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "c1", "c2"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
 
+    sizes = {(r["grp"], r["dim"]): r["n"] for r in heads.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model
+    schema = "grp string, id long, neighbour long, similarity double"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    wanted = {g: min(max_pivots, max(routes, n // per_pivot)) for g, n in sizes.items()}
+    over = max(1.0, sum(4 * g[1] * w for g, w in wanted.items()) / MAX_PIVOT_BYTES)
+    wanted = {g: max(1, int(w / over)) for g, w in wanted.items()}
+    shares = spark.createDataFrame([(g, d, 1.5 * wanted[g, d] / n) for (g, d), n in sizes.items()], "grp string, dim int, share double")
+    lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn: dict[tuple[str, int], dict[bytes, np.ndarray]] = {}  # one pivot a direction
+    for r in heads.join(F.broadcast(shares), ["grp", "dim"]).where(lot < F.col("share")).select("grp", "dim", "id", "vec", lot.alias("lot")).orderBy("lot").toLocalIterator():
+        mine = drawn.setdefault((r["grp"], r["dim"]), {})
+        if len(mine) < wanted[r["grp"], r["dim"]]:
+            unit = _unit(pa.array([r["vec"]], pa.list_(pa.float32())), r["dim"])
+            mine[_codes(unit)[0].as_py()] = unit[0]
+    pivots = {g: np.stack(list(drawn[g].values())) if drawn.get(g) else np.eye(1, g[1], dtype=np.float32) for g in sizes}
+
     open_, cells = heads.mapInArrow(router(pivots, routes), CELLS), None
     for level in range(depth + 1):
         # at most (rows * routes / max_cell) of them
