@@ -286,17 +286,18 @@ def resolve_inherited(docs: DataFrame, edges: DataFrame) -> DataFrame:
     a documented one.
 
     A method is named Class.method; ``edges`` of kind extends and implements lead from a class to its bases, by name,
-    within a ``scope`` (a repository) that both ``docs`` and ``edges`` have as a column, so that classes of one name in
+    within a ``scope`` (a repository) that both ``docs`` and ``edges`` may have as a column, so that classes of one name in
     different repositories are not taken for each other. Each step goes one class up and joins the base's method; the
     nearest base wins, the first in alphabetical order among bases as near, the smallest id among homonyms. It ends when
     no method has a base left that it has not met, so cycles end and no depth is lost.
     """
     method = F.regexp_extract("name", r"([^.:]+)$", 1)
     owner = F.regexp_extract("name", r"([^.:]+)(?:\.|::)[^.:]+$", 1)
-    named = docs.select("id", F.coalesce("scope", F.lit("")).alias("scope"), "told", "documentation", method.alias("method"), owner.alias("owner")).where(F.col("owner") != "")
+    scope_of = lambda df: (F.coalesce("scope", F.lit("")) if "scope" in df.columns else F.lit("")).alias("scope")
+    named = docs.select("id", scope_of(docs), "told", "documentation", method.alias("method"), owner.alias("owner")).where(F.col("owner") != "")
     best = named.where("told").groupBy("scope", F.col("owner").alias("base"), "method").agg(F.min_by("documentation", "id").alias("documentation"))
     up = edges.where(F.col("kind").isin("extends", "implements") & (F.col("source_name") != F.col("target_name")))
-    up = up.select(F.coalesce("scope", F.lit("")).alias("scope"), F.col("source_name").alias("owner"), F.col("target_name").alias("base")).distinct().checkpoint()
+    up = up.select(scope_of(up), F.col("source_name").alias("owner"), F.col("target_name").alias("base")).distinct().checkpoint()
     left = named.where(~F.col("told")).select("id", "scope", "method", "owner").join(up.select("scope", "owner").distinct(), ["scope", "owner"], "left_semi").checkpoint()
     met, out = left.select("id", F.col("owner").alias("base")), None
     while not left.isEmpty():

@@ -273,6 +273,34 @@ def test_repeated_items_and_shared_sentences_are_no_standing_instruction(spark):
     assert got == {(3, 1), (29, 4), (130, 4)} | {(i, 2) for i in range(100, 120)} | {(i, 3) for i in range(8)}
 
 
+def test_documentation_is_found_from_far_up_and_stays_in_its_repository(spark):
+    chain = [(i, 1, f"C{i}.run", i == 12, f"doc {i}" if i == 12 else None, "a") for i in range(13)]
+    other = [(50, 2, "C12.stop", True, "other repository", "b"), (51, 1, "C0.stop", False, None, "a")]
+    docs = spark.createDataFrame(chain + other, "id long, file_id long, name string, told boolean, documentation string, scope string")
+    edges = spark.createDataFrame([(f"C{i}", f"C{i + 1}", "extends", "a") for i in range(12)], "source_name string, target_name string, kind string, scope string")
+    got = {r["id"]: r["inherited_from"] for r in docpairs.resolve_inherited(docs, edges).collect()}
+    assert got == {i: "C12" for i in range(12)}
+    assert docpairs.resolve_inherited(docs.limit(0), edges).isEmpty()
+
+
+def test_documentation_after_very_long_signatures_and_of_many_symbols(spark):
+    text = "def f(\n" + "".join(f"    a{i}: int = {i},\n" for i in range(900)) + "):\n    '''Keeps the answer of every shard.'''\n"
+    assert docpairs.doc_in_text(text.split("\n"), 1, "python") == "Keeps the answer of every shard."
+    assert "Waits" in docpairs.doc_in_text("# Waits for it.\ndef f".split("\n"), 2, "ruby") and "Waits" in docpairs.doc_in_text("-- Waits.\nCREATE".split("\n"), 2, "sql")
+    files = spark.createDataFrame([(1, "a.py", "python")], "id long, path string, language string")
+    sources = spark.createDataFrame([("a.py", text)], "path string, text string")
+    schema = "id long, file_id long, name string, kind string, start_line int, end_line int, docstring string, signature string"
+    rows = spark.createDataFrame([(i, 1, "f", "function", 1, 2, None, None) for i in range(300)], schema)
+    assert docpairs.documented(rows, files, sources, per_row=50).where("told").count() == 300
+
+
+def test_short_squeezed_code_and_long_literals():
+    loader = "(()=>{var e={},t={};function r(n){var o=t[n];if(o)return o.exports;var i=t[n]={exports:{}};return e[n](i,i.exports,r),i.exports}r.m=e,r(0)})();"
+    assert written.judge("/r/src/l.js", loader)[0] == "compacted"
+    assert written.judge("/r/src/k.py", "KEY = (\n" + ("    '" + "QUJD" * 22 + "'\n") * 60 + ")\n")[0] == "data"
+    assert written.judge("/r/src/k.py", "def f(a, b):\n    return [x for x in a if x in b and x not in {1, 2, 3}] or sorted(b, key=lambda v: (v, -v))[::2][:10]\n")[0] is None
+
+
 # ---------------------------------------------------------------- personal information
 def found(t):
     return {(t[s:e], k) for s, e, k in pii.find(t)}
