@@ -2,7 +2,7 @@
 
 1. Vectors of one direction, whatever their lengths, can only be told apart by id, so only the k+1 smallest ids of each
    such class (its heads) take part as candidates; every further member is answered by the first k heads of its own
-   class. Directions are compared as 16-bit integers, by two independent 64-bit hashes of all of them.
+   class. Directions are compared as 16-bit integers, by a 128-bit hash of all of them.
 2. Heads are routed: each goes to the cells whose pivot it projects on most, ``routes`` of them and more the more pivots
    there are (``routes_among``), so that recall does not fall with size. Pivots are a bounded sample of the vectors, all
    heads are indexed. A cell of more than ``max_cell`` heads is routed again by what is left of its vectors beside their
@@ -73,11 +73,25 @@ def routes_among(pivots: int, routes: int) -> int:
     return routes + max(0, (max(pivots, 1) // 32).bit_length() - 1) // 2
 
 
+def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function on usable rows: the direction as integers, and two hashes of them."""
+    import xxhash
+
+    for batch in batches:
+        dims = batch.column("dim").to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            code = _codes(_unit(rows.column("vec"), dim))
+            both = np.array([np.frombuffer(xxhash.xxh3_128_digest(x), np.int64) for x in code.to_pylist()])
+            out = [rows.column("grp").cast(pa.string()), pa.array(np.full(len(rows), dim, np.int32)), rows.column("id"), code, pa.array(both[:, 0]), pa.array(both[:, 1])]
+            yield pa.RecordBatch.from_arrays(out, names=["grp", "dim", "id", "code", "c1", "c2"])
+
+
 CELLS = "grp string, dim int, cell string, id long, code binary"
 
 
 def router(pivots: dict[tuple[str, int], np.ndarray], routes: int):
-    """A mapInArrow function on (grp, dim, id, vec): each row once for each cell it is routed to."""
+    """A mapInArrow function on (grp, dim, id, code): each row once for each cell it is routed to."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +99,10 @@ def router(pivots: dict[tuple[str, int], np.ndarray], routes: int):
             names = np.asarray(batch.column("grp").to_pylist(), dtype=object)
             for key in {*zip(names.tolist(), dims.tolist(), strict=True)}:
                 rows = batch.take(pa.array(np.flatnonzero((names == key[0]) & (dims == key[1]))))
-                x = _unit(rows.column("vec"), key[1])
+                x = _decoded(rows.column("code").to_pylist(), key[1])
                 cells = _top(x @ pivots[key].T, routes_among(len(pivots[key]), routes))
                 at = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
-                out = [pa.array([key[0]] * len(at)), pa.array(np.full(len(at), key[1], np.int32)), pa.array(cells.ravel()).cast(pa.string()), rows.column("id").take(at), _codes(x).take(at)]
+                out = [pa.array([key[0]] * len(at)), pa.array(np.full(len(at), key[1], np.int32)), pa.array(cells.ravel()).cast(pa.string()), rows.column("id").take(at), rows.column("code").take(at)]
                 yield pa.RecordBatch.from_arrays(out, names=["grp", "dim", "cell", "id", "code"])
 
     return route
@@ -215,14 +229,12 @@ def similar_vectors(
     spark = df.sparkSession
     shared_dir(spark)
     copies = Window.partitionBy("grp", "dim", "c1", "c2").orderBy("id")
-    # the direction as integers, the same for all lengths but for the last digit of some
-    largest = F.array_max(F.transform("vec", lambda x: F.abs(x))).cast("double")
-    direction = F.transform("vec", lambda x: F.rint(x / F.col("largest") * 32767).cast("int"))
-    keyed = rows.withColumn("largest", largest).withColumn("direction", direction).select("grp", "dim", "id", "vec", F.xxhash64("direction").alias("c1"), F.xxhash64(F.lit(seed), "direction").alias("c2"))
+    # everything below reads these rows, of half the size of the vectors; without the cut each would scan and scale them again
+    keyed = rows.mapInArrow(encode, "grp string, dim int, id long, code binary, c1 long, c2 long").checkpoint()
     first = keyed.select("grp", "dim", "c1", "c2", "id").distinct().withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1)
     full = first.groupBy("grp", "dim", "c1", "c2").agg(F.array_sort(F.collect_set("id")).alias("h")).where(F.size("h") > k).checkpoint()
     lasts = full.select("grp", "dim", "c1", "c2", F.element_at("h", -1).alias("last"))
-    heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "c1", "c2"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "vec")
+    heads = keyed.join(F.broadcast(lasts) if full.count() <= 100_000 else lasts, ["grp", "dim", "c1", "c2"], "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("grp", "dim", "id", "code")
 
     sizes = {(r["grp"], r["dim"]): r["n"] for r in heads.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a model
     schema = "grp string, id long, neighbour long, similarity double"
@@ -233,12 +245,11 @@ def similar_vectors(
     wanted = {g: max(1, int(w / over)) for g, w in wanted.items()}
     shares = spark.createDataFrame([(g, d, 1.5 * wanted[g, d] / n) for (g, d), n in sizes.items()], "grp string, dim int, share double")
     lot = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn: dict[tuple[str, int], dict[bytes, np.ndarray]] = {}  # one pivot a direction
-    for r in heads.join(F.broadcast(shares), ["grp", "dim"]).where(lot < F.col("share")).select("grp", "dim", "id", "vec", lot.alias("lot")).orderBy("lot").toLocalIterator():
+    drawn: dict[tuple[str, int], dict[bytes, np.ndarray]] = {}  # a direction counts once
+    for r in heads.join(F.broadcast(shares), ["grp", "dim"]).where(lot < F.col("share")).select("grp", "dim", "id", "code", lot.alias("lot")).orderBy("lot").toLocalIterator():
         mine = drawn.setdefault((r["grp"], r["dim"]), {})
         if len(mine) < wanted[r["grp"], r["dim"]]:
-            unit = _unit(pa.array([r["vec"]], pa.list_(pa.float32())), r["dim"])
-            mine[_codes(unit)[0].as_py()] = unit[0]
+            mine[bytes(r["code"])] = _decoded([bytes(r["code"])], r["dim"])[0]
     pivots = {g: np.stack(list(drawn[g].values())) if drawn.get(g) else np.eye(1, g[1], dtype=np.float32) for g in sizes}
 
     open_, cells = heads.mapInArrow(router(pivots, routes), CELLS), None
@@ -297,7 +308,7 @@ def _short(heads: DataFrame, best: DataFrame, k: int, block: int = 4096) -> Data
                     if not len(rows):
                         continue
                     others, at = np.unique(rows.column("id").to_numpy(), return_index=True)
-                    q, o, s = nearest(ids, x, others, _unit(rows.column("vec").take(pa.array(at)), key[1]), k)
+                    q, o, s = nearest(ids, x, others, _decoded(rows.column("code").take(pa.array(at)).to_pylist(), key[1]), k)
                     yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(q), pa.string()), pa.array(ids[q]), pa.array(others[o]), pa.array(s)], names=["grp", "id", "neighbour", "similarity"])
 
         return run
@@ -306,7 +317,7 @@ def _short(heads: DataFrame, best: DataFrame, k: int, block: int = 4096) -> Data
         queries = {}
         for key in {(r["grp"], r["dim"]) for r in held}:
             mine = [r for r in held if (r["grp"], r["dim"]) == key]
-            queries[key] = np.array([r["id"] for r in mine], np.int64), _unit(pa.array([r["vec"] for r in mine], pa.list_(pa.float32())), key[1])
+            queries[key] = np.array([r["id"] for r in mine], np.int64), _decoded([bytes(r["code"]) for r in mine], key[1])
         return _merged(heads.mapInArrow(against(queries), schema), k)
 
     held = []
