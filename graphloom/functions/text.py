@@ -72,14 +72,13 @@ def value_category(c: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """By folder or file name: a tests folder, conftest.py, test_*.py, *_test.*, *.spec.* or *.test.*."""
-    return path.rlike(r"(^|/)(tests?|__tests__)/|(^|/)conftest\.py$|(^|/)test_[^/]*\.py$|_test\.[a-z]+$|\.(spec|test)\.[a-z]+$")
+    """By folder or file name: a folder test or tests, conftest.py, test_*.py, *_test.py, *.spec.* and *.test.* of scripts."""
+    return path.rlike(r"(^|/)tests?/|(?i:(^|/)conftest\.py$|(^|/)test_[^/]*\.py$|_test\.py$|\.(spec|test)\.[jt]sx?$)")
 
 
 def is_test_path_narrow(path: Column) -> Column:
-    """The narrower rule by substring that search and suspects use."""
-    low = F.lower(path)
-    return low.contains("/tests/") | low.contains("/test_") | low.contains("_test.") | low.contains(".test.") | low.contains(".spec.")
+    """The narrower rule that search and suspects use; false for null."""
+    return F.coalesce(F.lower(F.regexp_replace(path, r"\\", "/")).rlike(r"(^|/)tests?/|_test\.py$|\.(test|spec)\.[jt]s$"), F.lit(False))
 
 
 def tier(distance: Column) -> Column:

@@ -39,8 +39,9 @@ def bare_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fn_test_path",
     r"""
-    SELECT id, regexp_matches(path, '(^|/)(tests?|__tests__)/|(^|/)conftest\.py$|(^|/)test_[^/]*\.py$|_test\.[a-z]+$|\.(spec|test)\.[a-z]+$') AS is_test,
-           (contains(lower(path), '/tests/') OR contains(lower(path), '/test_') OR contains(lower(path), '_test.') OR contains(lower(path), '.test.') OR contains(lower(path), '.spec.')) AS is_test_narrow FROM files
+    SELECT id, (list_has_any(list_slice(string_split(path, '/'), 1, -2), ['test', 'tests']) OR regexp_matches(lower(path), '(^|/)(conftest|test_[^/]*)\.py$|_test\.py$')
+             OR regexp_matches(lower(path), '\.(spec|test)\.(js|jsx|ts|tsx)$')) AS is_test,
+           (contains('/' || lower(path), '/test/') OR contains('/' || lower(path), '/tests/') OR lower(path) LIKE '%\_test.py' ESCAPE '\' OR regexp_matches(lower(path), '\.(test|spec)\.(ts|js)$')) AS is_test_narrow FROM files
     """,
 )
 def test_path(spark: SparkSession, sf_dir: str) -> DataFrame:
