@@ -19,36 +19,6 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def token_index(symbols: DataFrame, columns: Sequence[str] = tuple(WEIGHTS)) -> DataFrame:
-    """(id, col, term, tf): how often a term stands in a column of a row; null columns hold none."""
-    per = F.array(*[F.struct(F.lit(c).alias("col"), terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
-    rows = symbols.select("id", F.explode(per).alias("p")).select("id", F.col("p.col").alias("col"), F.explode("p.t").alias("term"))
-    return rows.groupBy("id", "col", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(index: DataFrame, n_rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the rows that hold a query's term as a prefix, terms joined by OR.
-
-    ``index`` is (id, col, term, tf), ``n_rows`` one row with ``n``, the number of rows in all; ``queries`` is
-    (query_id, term). Term frequencies count by column weight, lengths are in tokens over all columns, and a prefix
-    has one document frequency; the idf is floored at 1e-6.
-    """
-    weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    length = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = length.agg((F.sum("len") / n_rows.select("n").scalar()).alias("avg"))
-    wanted = queries.select("query_id", F.lower("term").alias("q")).where("q <> ''").distinct()
-    # a prefix join as an equality: all prefixes of the index's distinct terms, as long as some query term
-    vocabulary = index.select("term").distinct()
-    heads = vocabulary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("q"))
-    matched = wanted.select("q").distinct().join(heads, "q")
-    hits = index.join(matched, "term").withColumn("w", F.element_at(weight, F.col("col"))).groupBy("q", "id").agg(F.sum(F.col("tf") * F.col("w")).alias("f"))
-    df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    n = n_rows.select("n").scalar()
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    scored = hits.join(df, "q").join(length, "id").withColumn("avg", stats.scalar()).select("q", "id", (idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))).alias("s"))
-    return wanted.join(scored, "q").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query with their rank, ties by smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
