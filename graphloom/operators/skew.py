@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 
 def value_frequencies(df: DataFrame, key: str, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Rows (key, *carry, col, value, n): how often each value of each column occurs under each key.
@@ -50,33 +52,26 @@ def key_profile(df: DataFrame, key: str, distinct: Sequence[str] = (), modes: Se
     return freq.groupBy("key").agg(*aggs)
 
 
-def key_percentiles(df: DataFrame, key: str, column: str, fractions: Sequence[float], buckets: int = 1024) -> DataFrame:
+def key_percentiles(df: DataFrame, key: str, column: str, fractions: Sequence[float]) -> DataFrame:
     """Rows (key, p<percent>...): exact lower percentiles (the value of rank ceil(f*n)) of an integer column per key.
 
-    Weighted values are summed into at most ``buckets`` ranges a key, the range holding the wanted rank is found from
-    those sums, and only its values are looked at one by one, so that no task sees all values of a hot key. Nulls
-    are left out; keys with nothing but nulls do not come out.
+    The weighted values are partitioned by ranges of (key, value), which are distinct, so that a hot key is spread over
+    many partitions however its values lie; the sums of each partition (one row a key and partition) tell in which the
+    wanted rank is, and only there are values looked at one by one. Nulls are left out; keys with nothing but nulls do
+    not come out; a null key is a key of its own.
     """
-    v, span = F.col("v"), F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
-    freq = (
-        df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").cast("long").alias("v")).where(v.isNotNull())
-        .groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    bounds = freq.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    spread = freq.join(bounds.withColumnRenamed("key", "k2"), F.col("key").eqNullSafe(F.col("k2"))).select(
-        "key", "v", "n", "total", F.floor((v - F.col("lo")) * buckets / span).cast("int").alias("b")
-    )
-    per_bucket = spread.groupBy("key", "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    upto = per_bucket.withColumn("upto", F.sum("bn").over(run))
-    wanted = [F.ceil(F.lit(f) * F.col("total")).cast("long") for f in fractions]
-    wanted = [F.greatest(w, F.lit(1)) for w in wanted]
+    v = F.col("v")
+    freq = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").cast("long").alias("v")).where(v.isNotNull()).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+    # the cut keeps the ranges as they are: drawn again they could differ
+    parts = cut(freq.repartitionByRange("key", "v").withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("key", "part").agg(F.sum("n").alias("bn"))
+    same = Window.partitionBy("key").orderBy("part")
+    upto = sums.withColumn("upto", F.sum("bn").over(same.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("bn").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    wanted = [F.greatest(F.ceil(F.lit(f) * F.col("total")).cast("long"), F.lit(1)) for f in fractions]
     hit = F.array_compact(F.array(*[F.when((w <= F.col("upto")) & (w > F.col("upto") - F.col("bn")), F.struct(F.lit(i).alias("i"), (w - F.col("upto") + F.col("bn")).alias("rank"))) for i, w in enumerate(wanted)]))
-    hits = upto.select(F.col("key").alias("k2"), F.col("b").alias("b2"), F.explode(hit).alias("h"))
-    inside = spread.join(hits, F.col("key").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")))
-    within = Window.partitionBy("key", "b", "h.i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hits = upto.select(F.col("key").alias("k2"), F.col("part").alias("p2"), F.explode(hit).alias("h"))
+    inside = parts.join(hits, F.col("key").eqNullSafe(F.col("k2")) & (F.col("part") == F.col("p2")))
+    within = Window.partitionBy("key", "part", "h.i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     found = inside.withColumn("r", F.sum("n").over(within)).where(F.col("r") >= F.col("h.rank"))
     return found.groupBy("key").agg(*[F.min(F.when(F.col("h.i") == i, v)).alias(f"p{round(f * 100)}") for i, f in enumerate(fractions)])
 

@@ -29,3 +29,12 @@ def within_budget(df: DataFrame, group: list[str], order: list[Column], size: Co
     """The longest prefix of each group, in order, whose summed sizes fit; after the first overflow nothing is kept."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_sum", F.sum(F.coalesce(size, F.lit(0))).over(w)).where(F.col("_sum") <= budget).drop("_sum")
+
+
+def innermost(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
+    """(point, span): for each point (point, file_id, line) the smallest of the spans (span, file_id, start_line, end_line) it lies
+    in, of equals the one with the smallest id. Spans are cut into blocks of lines, so that a point meets only those near it."""
+    s = spans.where("end_line >= start_line").withColumn("b", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
+    p = points.withColumn("b", F.floor(F.col("line") / block))
+    met = p.join(s, ["file_id", "b"]).where("line BETWEEN start_line AND end_line")
+    return met.groupBy("point").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "span"))["span"].alias("span"))

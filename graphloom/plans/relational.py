@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.plans import sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators import sync
+from graphloom.operators.repos import owned
+from graphloom.plans import query, sql_query
+from graphloom.session import table
 
 # ---------------------------------------------------------------- joins
 sql_query("join_symbols_files", "SELECT s.id, s.name, f.path, f.language FROM {symbols} s JOIN {files} f ON f.id = s.file_id")
@@ -14,11 +20,6 @@ sql_query(
        UNION SELECT s.id, e.source_name FROM {symbols} s JOIN (SELECT DISTINCT source_name, target_name FROM {edges}) e ON e.target_name = s.name WHERE s.kind IN ('class', 'interface', 'struct')""",
 )
 sql_query("join_edge_symbol_composite", "SELECT e.id, min(s.id) AS symbol_id FROM {edges} e LEFT JOIN {symbols} s ON s.file_id = e.file_id AND s.name = e.source_name GROUP BY e.id")
-sql_query(
-    "join_stabbing",
-    """SELECT edge_id, symbol_id FROM (SELECT e.id AS edge_id, s.id AS symbol_id, row_number() OVER (PARTITION BY e.id ORDER BY s.end_line - s.start_line, s.id) AS r
-       FROM {edges} e JOIN {symbols} s ON s.file_id = e.file_id AND e.line BETWEEN s.start_line AND s.end_line) t WHERE r = 1""",
-)
 sql_query(
     "join_prev_next",
     """SELECT id, lag(id) OVER (PARTITION BY file_id ORDER BY start_line, id) AS prev_id, lead(id) OVER (PARTITION BY file_id ORDER BY start_line, id) AS next_id FROM {symbols}""",
@@ -39,13 +40,6 @@ sql_query(
        JOIN (SELECT DISTINCT name FROM {symbols} WHERE kind = 'method') m ON m.name = concat(i.source_name, substring(b.name, length(i.target_name) + 1)) WHERE b.name LIKE '%.%'""",
 )
 sql_query("join_declaring_files", "SELECT DISTINCT s.name, f.path FROM {symbols} s JOIN {files} f ON f.id = s.file_id WHERE s.name IN (SELECT target_name FROM {edges} WHERE kind = 'import')")
-sql_query("join_repo_files", "SELECT f.id, r.repo_alias FROM {files} f JOIN {workspace_repos} r ON concat('/', split_part(f.path, '/', 2), '/', split_part(f.path, '/', 3), '/', split_part(f.path, '/', 4)) = r.repo_root")
-sql_query(
-    "join_cross_repo_names",
-    """SELECT name, count(DISTINCT repo_alias) AS repos FROM (SELECT s.name, r.repo_alias FROM {symbols} s JOIN {files} f ON f.id = s.file_id
-       JOIN {workspace_repos} r ON concat('/', split_part(f.path, '/', 2), '/', split_part(f.path, '/', 3), '/', split_part(f.path, '/', 4)) = r.repo_root) t GROUP BY name HAVING count(DISTINCT repo_alias) >= 2""",
-)
-sql_query("join_member_expansion", "SELECT c.id AS container_id, m.id AS member_id FROM {symbols} c JOIN {symbols} m ON split_part(m.name, '.', 1) = c.name AND m.name LIKE '%.%' WHERE c.kind IN ('class', 'interface', 'struct')")
 sql_query(
     "join_test_edges",
     """SELECT DISTINCT e.source_name, e.target_name FROM {edges} e JOIN {files} f ON f.id = e.file_id JOIN (SELECT DISTINCT s.name FROM {symbols} s JOIN {files} g ON g.id = s.file_id WHERE g.path NOT LIKE '%/tests/%') p ON p.name = e.target_name
@@ -74,14 +68,7 @@ sql_query(
 )
 sql_query("agg_language_counts", "SELECT f.language, count(DISTINCT f.id) AS files, count(s.id) AS symbols FROM {files} f LEFT JOIN {symbols} s ON s.file_id = f.id GROUP BY f.language")
 sql_query("agg_edge_histograms", "SELECT kind, confidence, synthesized_by, grouping(kind) AS g_kind, grouping(confidence) AS g_confidence, grouping(synthesized_by) AS g_by, count(*) AS n FROM {edges} GROUP BY GROUPING SETS ((kind), (confidence), (synthesized_by))")
-sql_query(
-    "agg_boundary_crosstab",
-    """SELECT fa.area AS from_area, ta.area AS to_area, count(*) AS n, min(e.id) AS first_edge FROM {edges} e JOIN (SELECT id, split_part(path, '/', 4) AS area FROM {files}) fa ON fa.id = e.file_id
-       JOIN (SELECT s.name, min(split_part(f.path, '/', 4)) AS area FROM {symbols} s JOIN {files} f ON f.id = s.file_id GROUP BY s.name) ta ON ta.name = e.target_name WHERE fa.area <> ta.area GROUP BY fa.area, ta.area""",
-)
 sql_query("agg_mode_cluster_per_file", "SELECT file_id, cluster_id FROM (SELECT file_id, cluster_id, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, cluster_id) AS r FROM {symbols} WHERE cluster_id IS NOT NULL GROUP BY file_id, cluster_id) t WHERE r = 1")
-sql_query("agg_dominant_folder", "SELECT repo, folder FROM (SELECT split_part(path, '/', 4) AS repo, split_part(path, '/', 5) AS folder, row_number() OVER (PARTITION BY split_part(path, '/', 4) ORDER BY count(*) DESC, split_part(path, '/', 5)) AS r FROM {files} WHERE path LIKE '/%' GROUP BY split_part(path, '/', 4), split_part(path, '/', 5)) t WHERE r = 1")
-sql_query("agg_rollup_area", "SELECT repo, folder, count(*) AS files FROM (SELECT split_part(path, '/', 4) AS repo, split_part(path, '/', 5) AS folder FROM {files} WHERE path LIKE '/%') t GROUP BY ROLLUP (repo, folder)")
 sql_query("agg_exception_histogram", "SELECT kind, target_name, count(*) AS n FROM {edges} WHERE kind IN ('raises', 'catches') GROUP BY kind, target_name")
 sql_query("agg_test_coverage", "SELECT target_name, count(DISTINCT source_name) AS tests FROM {edges} WHERE kind = 'tests' GROUP BY target_name")
 sql_query(
@@ -108,8 +95,6 @@ sql_query("agg_entry_score", "SELECT name, coalesce(entry_score, 1.0) AS score F
 sql_query("win_definition_count", "SELECT id, name, n FROM (SELECT id, name, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM {symbols}) t WHERE r = 1")
 sql_query("win_first_by_path", "SELECT name, path, start_line FROM (SELECT s.name, f.path, s.start_line, row_number() OVER (PARTITION BY s.name ORDER BY f.path, s.start_line, s.id) AS r FROM {symbols} s JOIN {files} f ON f.id = s.file_id) t WHERE r = 1")
 sql_query("win_per_file_cap", "SELECT id, file_id FROM (SELECT id, file_id, row_number() OVER (PARTITION BY file_id ORDER BY coalesce(entry_score, 1.0) DESC, name, id) AS r FROM {symbols}) t WHERE r <= 3")
-sql_query("win_cap_with_truncation", "SELECT kind, kept, total - kept AS dropped FROM (SELECT kind, count(*) AS total, sum(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS kept FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY source_name, target_name, id) AS r FROM {edges}) t GROUP BY kind) u",
-          "SELECT kind, kept, total - kept AS dropped FROM (SELECT kind, count(*) AS total, sum(CASE WHEN r <= 25 THEN 1 ELSE 0 END)::BIGINT AS kept FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY source_name, target_name, id) AS r FROM edges) t GROUP BY kind) u")
 sql_query("win_closing_interval", "SELECT id, start_line, lead(start_line) OVER (PARTITION BY file_id ORDER BY start_line, id) - 1 AS last_line FROM {symbols}")
 sql_query("top_sort_suspects", "SELECT candidate_id, suspect_strength, removal_risk FROM {suspect_candidates} ORDER BY CASE suspect_strength WHEN 'strong' THEN 0 WHEN 'moderate' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END, CASE removal_risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file, coalesce(line, -1), candidate_id LIMIT 100")
 sql_query("top_entry_points", "SELECT name, max(entry_score) AS score FROM {symbols} WHERE entry_score IS NOT NULL AND entry_score = entry_score GROUP BY name ORDER BY score DESC, name LIMIT 20")
@@ -131,3 +116,49 @@ sql_query(
        LEFT JOIN (SELECT source_name, count(*) AS d FROM {edges} GROUP BY source_name) o ON o.source_name = n.name WHERE coalesce(i.d, 0) = 0 AND coalesce(o.d, 0) >= 1""",
 )
 sql_query("filter_synthetic_edges", "SELECT e.id FROM {edges} e JOIN {files} f ON f.id = e.file_id WHERE e.synthesized_by IS NOT NULL AND f.path LIKE ':%'")
+
+
+# ---------------------------------------------------------------- shaped for skew
+sql_query("join_member_expansion", "SELECT c.name AS container, m.name AS member FROM (SELECT DISTINCT name FROM {symbols} WHERE kind IN ('class', 'interface', 'struct')) c JOIN (SELECT DISTINCT name, split_part(name, '.', 1) AS owner FROM {symbols} WHERE name LIKE '%.%') m ON m.owner = c.name")
+sql_query("win_cap_with_truncation", "SELECT kind, least(count(*), 25) AS kept, greatest(count(*) - 25, 0) AS dropped FROM {edges} GROUP BY kind",
+          "SELECT kind, count(CASE WHEN r <= 25 THEN 1 END) AS kept, count(CASE WHEN r > 25 THEN 1 END) AS dropped FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY source_name, target_name, id) AS r FROM edges) t GROUP BY kind")
+
+
+@query("join_stabbing", """SELECT edge_id, symbol_id FROM (SELECT e.id AS edge_id, s.id AS symbol_id, row_number() OVER (PARTITION BY e.id ORDER BY s.end_line - s.start_line, s.id) AS r
+       FROM edges e JOIN symbols s ON s.file_id = e.file_id AND e.line BETWEEN s.start_line AND s.end_line) t WHERE r = 1""")
+def stabbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost symbol that every edge stands in."""
+    points = table(spark, sf_dir, "edges").select(F.col("id").alias("point"), "file_id", "line")
+    spans = table(spark, sf_dir, "symbols").select(F.col("id").alias("span"), "file_id", "start_line", "end_line")
+    return sync.innermost(points, spans).select(F.col("point").alias("edge_id"), F.col("span").alias("symbol_id"))
+
+
+_OWNED = """owned AS (SELECT id, path, repo_alias, rest FROM (SELECT f.id, f.path, r.repo_alias, substr(f.path, length(r.repo_root) + 2) AS rest, row_number() OVER (PARTITION BY f.id ORDER BY length(r.repo_root) DESC NULLS LAST) AS n
+ FROM files f LEFT JOIN workspace_repos r ON starts_with(f.path, r.repo_root || '/')) WHERE n = 1)"""
+
+
+def over_repos(name: str, text: str) -> None:
+    """A statement over tables in braces, of which {owned} has the files with their repositories; the same text over a plain
+    derivation of that table is its SQL."""
+    names = [t for t in ("files", "symbols", "edges", "suspect_candidates", "workspace_repos") if "{" + t + "}" in text]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mine = owned(table(spark, sf_dir, "files"), table(spark, sf_dir, "workspace_repos"))
+        return spark.sql(text, owned=mine, **{t: table(spark, sf_dir, t) for t in names})
+
+    plain = text.replace("{owned}", "owned")
+    for t in names:
+        plain = plain.replace("{" + t + "}", t)
+    query(name, f"WITH {_OWNED} {plain}")(run)
+
+
+over_repos("join_repo_files", "SELECT id, repo_alias FROM {owned} WHERE repo_alias IS NOT NULL")
+over_repos("join_cross_repo_names", "SELECT s.name, count(DISTINCT o.repo_alias) AS repos FROM {symbols} s JOIN {owned} o ON o.id = s.file_id GROUP BY s.name HAVING count(DISTINCT o.repo_alias) >= 2")
+over_repos(
+    "agg_boundary_crosstab",
+    """SELECT fa.repo_alias AS from_area, ta.area AS to_area, count(*) AS n, min(e.id) AS first_edge FROM {edges} e JOIN {owned} fa ON fa.id = e.file_id
+       JOIN (SELECT s.name, min(o.repo_alias) AS area FROM {symbols} s JOIN {owned} o ON o.id = s.file_id GROUP BY s.name) ta ON ta.name = e.target_name WHERE fa.repo_alias <> ta.area GROUP BY fa.repo_alias, ta.area""",
+)
+over_repos("agg_dominant_folder", "SELECT repo, folder FROM (SELECT repo_alias AS repo, split_part(rest, '/', 1) AS folder, row_number() OVER (PARTITION BY repo_alias ORDER BY count(*) DESC, split_part(rest, '/', 1)) AS r FROM {owned} WHERE rest IS NOT NULL GROUP BY repo_alias, split_part(rest, '/', 1)) t WHERE r = 1")
+over_repos("agg_rollup_area", "SELECT repo, folder, count(*) AS files FROM (SELECT repo_alias AS repo, split_part(rest, '/', 1) AS folder FROM {owned} WHERE rest IS NOT NULL) t GROUP BY ROLLUP (repo, folder)")
+over_repos("rep_architecture_areas", "SELECT o.repo_alias AS repo, f.language, count(DISTINCT f.id) AS files, count(s.id) AS symbols, count(DISTINCT s.cluster_id) AS clusters FROM {files} f JOIN {owned} o ON o.id = f.id LEFT JOIN {symbols} s ON s.file_id = f.id WHERE f.path NOT LIKE ':%' GROUP BY o.repo_alias, f.language")

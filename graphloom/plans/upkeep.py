@@ -112,7 +112,6 @@ sql_query(
 # peers come from the size of a cluster, not from pairs of its members
 _PEERS = "SELECT a.name, m.members - 1 AS peers FROM (SELECT name, {first} AS cluster_id FROM {symbols} GROUP BY name) a JOIN (SELECT cluster_id, count(DISTINCT name) AS members FROM {symbols} GROUP BY cluster_id) m ON m.cluster_id = a.cluster_id WHERE m.members > 1"
 sql_query("rep_cluster_peers", _PEERS.replace("{first}", "min_by(cluster_id, id)"), _PEERS.replace("{first}", "arg_min_null(cluster_id, id)").replace("{symbols}", "symbols"))
-sql_query("rep_architecture_areas", "SELECT split_part(f.path, '/', 4) AS repo, f.language, count(DISTINCT f.id) AS files, count(s.id) AS symbols, count(DISTINCT s.cluster_id) AS clusters FROM {files} f LEFT JOIN {symbols} s ON s.file_id = f.id WHERE f.path LIKE '/%' GROUP BY split_part(f.path, '/', 4), f.language")
 sql_query(
     "rep_trace_gaps",
     "SELECT tool, count(*) AS calls, count(CASE WHEN result_count = 0 THEN 1 END) AS empty_results, count(DISTINCT session_id) AS sessions FROM {tool_calls} GROUP BY tool",

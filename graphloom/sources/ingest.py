@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 #: fixed values: folders that a scan leaves out, suffixes it keeps and the languages they stand for
 SKIP = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", "venv", ".git")
-LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "rs": "rust", "md": "markdown"}
+LANGUAGES = {
+    "py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "cs": "csharp", "rb": "ruby",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "php": "php", "swift": "swift", "md": "markdown", "markdown": "markdown",
+}
 MAX_BYTES = 1 << 20
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, language, file_hash, mtime, text) of the source files below ``root``: known suffixes, no hidden or skipped
-    folders, no minified files, at most a megabyte. Bytes that are no UTF-8 are replaced."""
+    folders, no minified files, at most ``max_bytes`` (a megabyte unless asked otherwise). Bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix]
     skipped = path.rlike(r"/(" + "|".join(s.replace(".", r"\.") for s in SKIP) + r")/|/\.(?!claude)[^/]+/|\.min\.")
-    return files.where((F.col("length") <= MAX_BYTES) & ~skipped & language.isNotNull()).select(path.alias("path"), language.alias("language"), F.sha1("content").alias("file_hash"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+    return files.where((F.col("length") <= max_bytes) & ~skipped & language.isNotNull()).select(path.alias("path"), language.alias("language"), F.sha1("content").alias("file_hash"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
 
 
 SYMBOLS = "path string, row_kind string, name string, kind string, start_line int, end_line int, docstring string, signature string, decorators array<string>, visibility string, source_name string, target_name string, receiver string, line int"
@@ -118,9 +121,11 @@ def headings(docs: DataFrame) -> DataFrame:
     h = lines(docs, "doc_id").select("doc_id", "line", F.length(F.regexp_extract("content", r"^(#{1,6})\s+\S", 1)).alias("level"), F.trim(F.regexp_replace("content", r"^#{1,6}\s+|\s+#+\s*$|\r$", "")).alias("title")).where("level > 0")
     order = Window.partitionBy("doc_id").orderBy("line")
     after, before = order.rowsBetween(1, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
-    here = F.struct("line", "level")
-    ahead = F.array_min(F.transform(F.filter(F.collect_list(here).over(after), lambda x: x["level"] <= F.col("level")), lambda x: x["line"]))
-    above = F.array_max(F.transform(F.filter(F.collect_list(here).over(before), lambda x: x["level"] < F.col("level")), lambda x: x["line"]))
+    # six levels, each with its next and last line so far: rows grow with the headings, not with their square
+    lines_of = lambda k: F.when(F.col("level") == k, F.col("line"))
+    h = h.withColumns({f"n{k}": F.min(lines_of(k)).over(after) for k in range(1, 7)} | {f"b{k}": F.max(lines_of(k)).over(before) for k in range(1, 7)})
+    ahead = F.array_min(F.array(*[F.when(F.col("level") >= k, F.col(f"n{k}")) for k in range(1, 7)]))
+    above = F.array_max(F.array(*[F.when(F.col("level") > k, F.col(f"b{k}")) for k in range(1, 7)]))
     return h.select("doc_id", "line", "level", "title", (ahead - 1).alias("last_line"), above.alias("parent"))
 
 
