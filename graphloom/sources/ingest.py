@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
 SYMBOLS = "path string, row_kind string, name string, kind string, start_line int, end_line int, docstring string, signature string, decorators array<string>, visibility string, source_name string, target_name string, receiver string, line int"
 
 
-def _python_rows(path: str, text: str) -> list[dict]:
+def python_rows(path: str, text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
@@ -50,6 +50,25 @@ def _python_rows(path: str, text: str) -> list[dict]:
         if source and target:
             rows.append({"row_kind": "edge", "kind": kind, "source_name": source, "target_name": target, "receiver": receiver, "line": line})
 
+    def types(n: ast.AST | None) -> list[str]:
+        """The names of the classes that an annotation speaks of, builtins aside."""
+        out = [dotted(x) for x in ast.walk(n) if isinstance(x, (ast.Name, ast.Attribute))] if n is not None else []
+        return [x for x in dict.fromkeys(out) if x and x[:1].isupper()]
+
+    def fields_of(n: ast.ClassDef) -> dict[str, tuple[int, ast.AST | None]]:
+        out: dict[str, tuple[int, ast.AST | None]] = {}
+        for x in n.body:
+            if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name):
+                out.setdefault(x.target.id, (x.lineno, x.annotation))
+            if isinstance(x, ast.FunctionDef) and x.name == "__init__":
+                given = {a.arg: a.annotation for a in x.args.args}
+                for y in ast.walk(x):
+                    for t in y.targets if isinstance(y, ast.Assign) else [y.target] if isinstance(y, ast.AnnAssign) else []:
+                        if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                            kind = y.annotation if isinstance(y, ast.AnnAssign) else given.get(y.value.id) if isinstance(y.value, ast.Name) else y.value.func if isinstance(y.value, ast.Call) else None
+                            out.setdefault(t.attr, (y.lineno, kind))
+        return out
+
     def visit(node: ast.AST, owner: str, inside: str | None) -> None:
         for n in ast.iter_child_nodes(node):
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -60,11 +79,22 @@ def _python_rows(path: str, text: str) -> list[dict]:
                 if kind == "class":
                     for b in n.bases:
                         edge("extends", name, dotted(b), n.lineno)
+                    for f, (line, annotation) in fields_of(n).items():
+                        rows.append({"row_kind": "symbol", "name": f"{n.name}.{f}", "kind": "field", "start_line": line, "end_line": line, "docstring": None, "signature": None, "decorators": [], "visibility": "private" if f.startswith("_") else "public", "line": line})
+                        for t in types(annotation):
+                            edge("holds", name, t, line)
+                else:
+                    for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]:
+                        for t in types(a.annotation):
+                            edge("uses", name, t, n.lineno)
+                # what stands in a function belongs to it; only a class's own functions are its methods
                 visit(n, n.name if kind == "class" else "", name)
                 continue
             if isinstance(n, ast.Call):
                 receiver = ast.unparse(n.func.value) if isinstance(n.func, ast.Attribute) else None
-                edge("call", inside, dotted(n.func), n.lineno, receiver if receiver is None or len(receiver) < 80 else None)
+                target = dotted(n.func)
+                made = receiver is None and target is not None and target[:1].isupper()
+                edge("instantiates" if made else "call", inside, target, n.lineno, receiver if receiver is None or len(receiver) < 80 else None)
             elif isinstance(n, ast.Raise) and n.exc is not None:
                 edge("raises", inside, dotted(n.exc), n.lineno)
             elif isinstance(n, ast.ExceptHandler) and n.type is not None:
@@ -72,10 +102,12 @@ def _python_rows(path: str, text: str) -> list[dict]:
                     edge("catches", inside, dotted(t), n.lineno)
             elif isinstance(n, (ast.Import, ast.ImportFrom)):
                 for a in n.names:
-                    edge("import", inside or path, a.name.rsplit(".", 1)[-1], n.lineno)
+                    edge("import", path.rsplit("/", 1)[-1].rsplit(".", 1)[0], a.name.rsplit(".", 1)[-1], n.lineno)
+            elif isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Attribute) and isinstance(n.target.value, ast.Name) and n.target.value.id == "self" and inside:
+                edge("reads", inside, n.target.attr, n.lineno, "self")
             elif isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self" and inside:
                 edge("writes" if isinstance(n.ctx, (ast.Store, ast.Del)) else "reads", inside, n.attr, n.lineno, "self")
-            visit(n, owner if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) else "", inside)
+            visit(n, owner, inside)
 
     visit(tree, "", None)
     for r in rows:
@@ -83,16 +115,20 @@ def _python_rows(path: str, text: str) -> list[dict]:
     return rows
 
 
+def frame(rows: list[dict]) -> pd.DataFrame:
+    """Rows as a frame of the columns of ``SYMBOLS``, with nulls where a row has none."""
+    columns = [c.split()[0] for c in SYMBOLS.split(", ")]
+    out = pd.DataFrame(rows, columns=columns)
+    whole = ("start_line", "end_line", "line")
+    return out.assign(**{c: out[c].astype("Int32") if c in whole else out[c].astype(object).where(out[c].map(lambda v: isinstance(v, (str, list))), None) for c in columns})
+
+
 def extract_python(texts: DataFrame) -> DataFrame:
     """Symbol and edge rows, told apart by ``row_kind``, of (path, text) Python files. Files that do not parse give none."""
-    columns = [c.split()[0] for c in SYMBOLS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for p, t in zip(b["path"], b["text"], strict=True) for r in _python_rows(p, t.replace("\r\n", "\n"))]
-            out = pd.DataFrame(rows, columns=columns)
-            whole = ("start_line", "end_line", "line")
-            yield out.assign(**{c: out[c].astype("Int32") if c in whole else out[c].astype(object).where(out[c].map(lambda v: isinstance(v, (str, list))), None) for c in columns})
+            yield frame([r for p, t in zip(b["path"], b["text"], strict=True) for r in python_rows(p, t.replace("\r\n", "\n"))])
 
     return texts.where(F.length("text") > 0).select("path", "text").mapInPandas(run, SYMBOLS)
 
