@@ -503,7 +503,7 @@ def flow_tree(edges: DataFrame, symbols: DataFrame, entry: str, depth: int = 6,
     spark, claimed, cut_short = edges.sparkSession, {entry}, set()
     near: dict[str, list[tuple[str, str]]] = {}
     frontier = {entry}
-    for _ in range(depth):  # all that a visit of this depth can look at: names within ``depth`` hops by their first callees
+    for _ in range(depth + 1):  # all that a visit of this depth can look at, and whether the last names have callees
         todo = spark.createDataFrame([(x,) for x in sorted(frontier - near.keys())], "src string")
         if not frontier - near.keys():
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import sync
+from graphloom.operators import store, sync
 from graphloom.plans import query, sql_query
 from graphloom.session import shared_dir, table
 from graphloom.sources import ingest
@@ -81,7 +81,7 @@ def sessions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("session_id", "calls", F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1_000_000).alias("seconds"))
 
 
-@query("stream_tool_counts")
+@query("stream_tool_counts", "SELECT tool, count(DISTINCT call_id) AS calls FROM tool_calls GROUP BY tool")
 def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of every tool, counted by a stream that upserts into a table and ends with its input."""
     import uuid
@@ -96,6 +96,25 @@ def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/table").groupBy("call_id").agg(F.max_by("tool", "batch").alias("tool")).groupBy("tool").agg(F.count(F.lit(1)).alias("calls"))
 
 
+@query("stream_latest_calls", "SELECT session_id, arg_max(call_id, struct_pack(a := received_at, b := call_id)) AS call_id FROM tool_calls WHERE session_id IS NOT NULL GROUP BY session_id")
+def latest_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest call of every session, kept by a stream of debounced upserts into a table of buckets."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    calls = S.calls_stream(spark, f"{sf_dir}/tool_calls.parquet").select("session_id", "call_id", "received_at").where("session_id IS NOT NULL")
+    store.create(spark.createDataFrame([], calls.schema), f"{base}/table", "session_id", 8)
+
+    def put(df: DataFrame, number: int) -> None:
+        # a batch may be older than what is stored: the newest of both stays
+        now = store.read(spark, f"{base}/table").join(df.select("session_id"), "session_id", "left_semi") if number else df.limit(0)
+        best = df.unionByName(now).groupBy("session_id").agg(F.max_by(F.struct("session_id", "call_id", "received_at"), F.struct("received_at", "call_id")).alias("r")).select("r.*")
+        store.change(f"{base}/table", "session_id", df.select("session_id").limit(0), best, 8)
+
+    S.upsert_stream(calls, f"{base}/checkpoint", "session_id", ["received_at", "call_id"], put).awaitTermination()
+    return store.read(spark, f"{base}/table").select("session_id", "call_id")
+
+
 # ---------------------------------------------------------------- composite reads
 sql_query(
     "rep_symbol_context",

@@ -21,11 +21,12 @@ _C = r"//[^\n]*|/\*[\s\S]*?\*/"
 _QUOTES = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|sealed|readonly|synchronized|native|default|open|fileprivate|mutating|required|convenience|inline|constexpr|extern|unsafe|const|pub(?:\([^)]*\))?|export|declare|partial|get|set)\s+)*"
 _GENERIC = r"(?:<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>)?"
-#: words before a round bracket that are no calls
+#: words before a round bracket that are no calls, and those of single languages
 NO_CALLS = frozenset(
-    """if for while switch catch return sizeof typeof function func fn match when until unless elsif else do try new delete throw throws super this self await yield in of is as not and or
-    assert defer go select case guard where import export from using lock foreach elseif isset empty echo print array list require include synchronized instanceof void class struct enum trait impl mod use let var const""".split()
+    """if for while switch catch return sizeof typeof function func fn when until unless elsif else do try new delete throw throws super this self await yield in of is as not and or
+    assert case import export from using lock foreach elseif synchronized instanceof void class struct enum trait impl mod let var const""".split()
 )
+WORDS_OF = {"go": frozenset("go select defer".split()), "rust": frozenset(("match",)), "swift": frozenset("guard where init".split()), "php": frozenset("list array print echo isset empty match include require".split()), "ruby": frozenset("require include puts raise".split())}
 
 
 @dataclass(frozen=True)
@@ -289,7 +290,7 @@ def rows_of(path: str, text: str, name: str) -> list[dict]:
     declared = {m.start("name") if m.groupdict().get("name") else m.start() for _, _, _, m in found}
     for m in _CALL.finditer(code):
         called = m["name"].rstrip("!?")
-        if called in NO_CALLS or m.start("name") in declared:
+        if called in NO_CALLS or called in WORDS_OF.get(name, ()) or m.start("name") in declared:
             continue
         source = inside(m.start())
         if not source:

@@ -31,12 +31,12 @@ def sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "7 days", ke
     return grouped.select(key, "started", "ended", "calls")
 
 
-def upsert_stream(events: DataFrame, checkpoint: str, key: str, order: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def upsert_stream(events: DataFrame, checkpoint: str, key: str, order: str | list[str], apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Debounced upserts: of each micro-batch only the newest row of every key reaches ``apply``, which must be idempotent
     for a batch id, as a batch is repeated after a failure."""
 
     def batch(df: DataFrame, number: int) -> None:
-        newest = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+        newest = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*([order] if isinstance(order, str) else order))).alias("r")).select("r.*")
         apply(newest, number)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
