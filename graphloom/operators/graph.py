@@ -252,8 +252,8 @@ def components(pairs: DataFrame) -> DataFrame:
 def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """(name, score): personalised PageRank over directed edges; the mass of names without an out-edge returns to the seeds.
 
-    Scores sum to 1. Without seeds among the names nothing comes out. A round is one job; whether the scores
-    have settled is looked at every fifth round.
+    Scores sum to 1. Without seeds among the names nothing comes out. A round is one job, and one more where some
+    names have no out-edge; whether the scores have settled is looked at every fifth round.
     """
     steps = cut(adj.select("src", "dst").distinct())
     out = steps.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
@@ -264,16 +264,18 @@ def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: in
     if not n:
         return start.select("name", F.lit(0.0).alias("score")).limit(0)
     base = cut(names.join(start.withColumn("s", F.lit(1.0 / n)), "name", "left").join(out.select(F.col("src").alias("name"), F.lit(1).alias("has")), "name", "left").select("name", F.coalesce("s", F.lit(0.0)).alias("s"), F.col("has").isNotNull().alias("has")))
-    scores = base.select("name", F.col("s").alias("score"), F.col("s").alias("before"))
+    scores = base.select("name", F.col("s").alias("score"))
+    all_lead_on = base.where("NOT has").isEmpty()
     for r in range(1, rounds + 1):
-        flow = scores.join(spread, "name").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
-        lost = scores.join(base.where("NOT has"), "name", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost")).scalar()
-        fresh = base.join(flow, "name", "left").join(scores.select("name", F.col("score").alias("before")), "name")
-        scores = cut(fresh.select("name", ((1 - restart) * (F.coalesce("flow", F.lit(0.0)) + lost * F.col("s")) + restart * F.col("s")).alias("score"), "before"))
-        if r % 5 == 0:
-            if scores.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
-                break
-    return scores.select("name", "score")
+        flow = scores.join(spread, "name").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
+        lost = 0.0 if all_lead_on else scores.join(base.where("NOT has"), "name", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+        fresh = base.join(flow, base["name"] == flow["dst"], "left")
+        fresh = cut(fresh.select(base["name"], ((1 - restart) * (F.coalesce("flow", F.lit(0.0)) + F.lit(lost) * F.col("s")) + restart * F.col("s")).alias("score")))
+        moved = fresh.withColumnRenamed("score", "new").join(scores, "name").agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0] if r % 5 == 0 else None
+        scores = fresh
+        if moved is not None and moved < tolerance:
+            break
+    return scores
 
 
 def local_subgraph(adj: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 500) -> DataFrame:

@@ -47,12 +47,18 @@ def change(path: str, key: str, gone: DataFrame, fresh: DataFrame | None = None,
     touched = [r[0] for r in keys.select(F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # at most ``buckets``
     if not touched:
         return 0
-    old = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(BUCKET).isin(touched))
-    kept = old.join(keys, old[key].cast("string").eqNullSafe(F.col("_k")), "left_anti")
-    rows = kept if fresh is None else kept.unionByName(_bucketed(fresh, key, buckets), allowMissingColumns=True)
+    fs, root = _fs(spark, path)
+    new = None if fresh is None else _bucketed(fresh, key, buckets)
+    if fs.exists(root) and any(x.getPath().getName().startswith(BUCKET) for x in fs.listStatus(root)):
+        old = spark.read.option("mergeSchema", "true").parquet(path).where(F.col(BUCKET).isin(touched))
+        kept = old.join(keys, old[key].cast("string").eqNullSafe(F.col("_k")), "left_anti")
+        rows = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
+    elif new is None:
+        return 0
+    else:  # a table without rows has no files to read
+        rows = new
     staged = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
     rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(staged)
-    fs, _ = _fs(spark, path)
     for b in touched:
         part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={b}")
         new = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}/{BUCKET}={b}")

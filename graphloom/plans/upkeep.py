@@ -107,7 +107,7 @@ def latest_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def put(df: DataFrame, number: int) -> None:
         # a batch may be older than what is stored: the newest of both stays
-        now = store.read(spark, f"{base}/table").join(df.select("session_id"), "session_id", "left_semi") if number else df.limit(0)
+        now = store.read(df.sparkSession, f"{base}/table").join(df.select("session_id"), "session_id", "left_semi").select(*df.columns) if number else df.limit(0)
         best = df.unionByName(now).groupBy("session_id").agg(F.max_by(F.struct("session_id", "call_id", "received_at"), F.struct("received_at", "call_id")).alias("r")).select("r.*")
         store.change(f"{base}/table", "session_id", df.select("session_id").limit(0), best, 8)
 
