@@ -164,8 +164,11 @@ _PPR_GRAPH = """adj AS (SELECT DISTINCT source_name AS a, target_name AS b FROM
  g3 AS (SELECT DISTINCT u.b AS name FROM u JOIN g2 ON g2.name = u.a WHERE u.b NOT IN (SELECT name FROM g0 UNION SELECT name FROM g1 UNION SELECT name FROM g2) ORDER BY 1 LIMIT (500 - (SELECT count(*) FROM g0) - (SELECT count(*) FROM g1) - (SELECT count(*) FROM g2))),
  g AS (SELECT name FROM g0 UNION ALL SELECT name FROM g1 UNION ALL SELECT name FROM g2 UNION ALL SELECT name FROM g3), i AS MATERIALIZED (SELECT u.a, u.b FROM u WHERE a IN (SELECT name FROM g) AND b IN (SELECT name FROM g)),
  n AS MATERIALIZED (SELECT a AS name, count(*) AS d, CASE WHEN a IN (SELECT name FROM seed) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s FROM i GROUP BY a), r0 AS MATERIALIZED (SELECT name, s AS x FROM n)"""
-_PPR = "WITH " + _SEED + ", " + _PPR_GRAPH + "".join(
-    f", f{k} AS (SELECT i.b AS name, sum(r.x / n.d) AS f FROM i JOIN r{k - 1} r ON r.name = i.a JOIN n ON n.name = i.a GROUP BY i.b), r{k} AS MATERIALIZED (SELECT n.name, 0.85 * coalesce(f.f, 0) + 0.15 * n.s AS x FROM n LEFT JOIN f{k} f ON f.name = n.name)"
+# a round changes nothing once the one before moved less than the tolerance
+_PPR = "WITH " + _SEED + ", " + _PPR_GRAPH + ", z0 AS MATERIALIZED (SELECT false AS s)" + "".join(
+    f", f{k} AS (SELECT i.b AS name, sum(r.x / n.d) AS f FROM i JOIN r{k - 1} r ON r.name = i.a JOIN n ON n.name = i.a GROUP BY i.b)"
+    f", r{k} AS MATERIALIZED (SELECT n.name, CASE WHEN (SELECT s FROM z{k - 1}) THEN r.x ELSE 0.85 * coalesce(f.f, 0) + 0.15 * n.s END AS x FROM n JOIN r{k - 1} r ON r.name = n.name LEFT JOIN f{k} f ON f.name = n.name)"
+    f", z{k} AS MATERIALIZED (SELECT sum(abs(a.x - b.x)) < 1e-6 AS s FROM r{k} a JOIN r{k - 1} b ON b.name = a.name)"
     for k in range(1, 31)
 ) + " SELECT name, round(x, 9) AS score FROM r30"
 
