@@ -118,6 +118,26 @@ def test_clusters_number_and_label(spark):
     assert got == {0: ("render — c", 3, 0.857), 2: ("query — x", 3, 0.857)} and members.count() == 6
 
 
+def test_communities_are_those_of_names_moving_one_by_one_whatever_the_size(spark):
+    import random
+
+    draw = random.Random(7)
+    links = sorted({tuple(sorted(draw.sample([f"n{i:03}" for i in range(120)], 2))) for _ in range(400)})
+    adj = G.adjacency(spark.createDataFrame([(a, b, "call") for a, b in links], "source_name string, target_name string, kind string"))
+    groups = lambda d: {frozenset(n for n in d if d[n] == c) for c in d.values()}
+    want = groups(plain_louvain({x for p in links for x in p}, links))
+    for most in (0, 500_000):
+        assert groups({r["name"]: r["community"] for r in G.communities(adj, max_links=most).collect()}) == want
+
+
+def test_clusters_take_the_same_edges_of_few_and_of_many_names(spark):
+    pair = [sym(1, "a"), sym(2, "b")]
+    for more in (0, 1200):
+        s, e, f = tables(spark, pair + [sym(10 + i, f"lone{i}") for i in range(more)], [edge(1, "a", "b", confidence="INFERRED")], [(1, "/r/x/f.py", "python")])
+        assert [(r["cluster_id"], r["size"], r["cohesion"]) for r in G.clusters(e, s, f)[0].collect()] == [(0, 2, 1.0)]
+        assert G.clusters(e, s, f, trusted=True)[1].isEmpty()
+
+
 def test_changes_find_symbols_and_their_tests(spark):
     files = [(1, "/r/a.py", "python"), (2, "/r/tests/test_b.py", "python"), (3, "/r/new.py", "python")]
     s, e, f = tables(spark, [sym(1, "f", start=1, end=200), sym(2, "g", start=120, end=130), sym(3, "test_f", 2), sym(4, "h", 3)], [edge(1, "mid", "g"), edge(2, "test_f", "mid", file_id=2), edge(3, "g", "g")], files)
