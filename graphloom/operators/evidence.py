@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.rules import is_special_file, is_test_symbol, removal_risk, strength, tested_name
 from graphloom.functions.text import bare_name, is_test_path, is_test_path_narrow, shared_folders
-from graphloom.operators.graph import NO_IMPACT, adjacency, resolved, sized
+from graphloom.operators.graph import NO_IMPACT, adjacency, coded, numbered, resolved, sized
 from graphloom.operators.search import indexed
 from graphloom.session import cut
 
@@ -305,6 +305,24 @@ def walk_many(hops: DataFrame, seeds: DataFrame, direction: str = "upstream", de
     return seen.where("distance > 0")
 
 
+def reached_by_others(adj: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(name): names that lead to a seed other than themselves within ``depth`` hops: the names of ``walk_many``, upstream.
+
+    Of the seeds that a name leads to only the first and the last by name are kept: one of them is another than the name
+    itself if any is. So the state is a row a name, not a row a (seed, name).
+    """
+    links = adj.select("src", "dst").where("src <> dst")
+    seeds = seeds.select("name").where("name IS NOT NULL").distinct()
+    # other names neither lead on nor are looked for
+    ids = numbered(links.select(F.col("src").alias("name")).union(seeds).distinct(), "name", "id").select("name", F.col("id").cast("int").alias("id"))
+    steps = cut(coded(links, ids).distinct())
+    state = cut(ids.join(seeds, "name", "left_semi").select("id", F.col("id").alias("lo"), F.col("id").alias("hi")))
+    for _ in range(depth):
+        further = steps.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "lo", "hi")
+        state = cut(further.unionByName(state).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    return ids.join(state.where("lo <> id OR hi <> id"), "id", "left_semi").select("name")
+
+
 def changed_symbols(lines: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(path, name): the symbols that changed lines, given as (path, is_new, line), stand in; every symbol of a new file; and a
     null name for a file of which some line stands in none (its own code, or one that the index does not know)."""
@@ -344,7 +362,7 @@ def affected_tests(changed: DataFrame, symbols: DataFrame, files: DataFrame, edg
     f = files.select(F.col("id").alias("file_id"), "path")
     paths = changed.select("path").where("path IS NOT NULL").distinct()
     seeds = symbols.where("name IS NOT NULL").join(f.join(paths, "path", "left_semi"), "file_id", "left_semi").select("name").distinct()
-    reached = walk_many(resolved(adjacency(edges), symbols), seeds, "upstream", depth).select("name").distinct()
+    reached = reached_by_others(edges.select(F.col("source_name").alias("src"), F.col("target_name").alias("dst")), seeds, depth)
     found = symbols.join(reached, "name", "left_semi").join(f, "file_id").where(is_test_path(F.col("path"))).groupBy("path").agg(F.countDistinct("name").alias("dependents"))
     direct = paths.where(is_test_path(F.col("path"))).withColumn("direct", F.lit(True))
     return found.join(direct, "path", "full").select("path", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("dependents", F.lit(0)).alias("dependents"))

@@ -1,5 +1,7 @@
 """Hand-made cases of what the tables hold no example of."""
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import evidence as E
 from graphloom.operators import graph as G
 from graphloom.operators import report as P
@@ -149,6 +151,49 @@ def test_changes_find_symbols_and_their_tests(spark):
     assert E.change_risk(hit.limit(0)).first()["risk"] == "low"
 
 
+def test_affected_names_lead_to_another_seed(spark):
+    links = [("t", "a"), ("a", "b"), ("b", "a"), ("c", "c"), ("u", "c"), ("v", "u"), ("w", "v"), ("x", "w"), ("s", "a"), ("s", "c")]
+    adj = G.adjacency(spark.createDataFrame([(a, b, "call") for a, b in links], "source_name string, target_name string, kind string"))
+    for names in ([], ["a"], ["a", "b"], ["c"], ["a", "c", "s"], ["b", "c", None]):
+        seeds = spark.createDataFrame([(n,) for n in names], "name string")
+        many = E.walk_many(adj.withColumn("rank", F.lit(2)), seeds).select("name").distinct()
+        assert sorted(r["name"] for r in E.reached_by_others(adj, seeds).collect()) == sorted(r["name"] for r in many.collect())
+
+
+def test_affected_tests_keep_a_row_a_name(spark, monkeypatch):
+    kept = []
+    real = E.cut
+    monkeypatch.setattr(E, "cut", lambda df: kept.append(real(df)) or kept[-1])
+    n = 30
+    s, e, f = tables(spark, [sym(i, f"f{i:02}") for i in range(n)] + [sym(99, "test_f", 2)], [edge(1, "test_f", "mid")] + [edge(2 + i, "mid", f"f{i:02}") for i in range(n)], [(1, "/r/a.py", "python"), (2, "/r/tests/test_b.py", "python")])
+    assert [tuple(r) for r in E.affected_tests(spark.createDataFrame([("/r/a.py",)], "path string"), s, f, e, depth=3).collect()] == [("/r/tests/test_b.py", False, 1)]
+    assert max(df.count() for df in kept) <= n + 2
+
+
+def test_best_reach_is_that_of_walking_from_every_root():
+    import random
+
+    import numpy as np
+
+    draw = random.Random(3)
+    links = sorted({(a, b) for a, b in ((draw.randrange(90), 30 + draw.randrange(90)) for _ in range(260)) if a != b})
+    near = {a: {b for x, b in links if x == a} for a, _ in links}
+
+    def walked(i):
+        seen = at = {i}
+        for _ in range(3):
+            at = {b for a in at for b in near.get(a, ())} - seen
+            seen = seen | at
+        return len(seen) - 1
+
+    root = np.arange(60)
+    weight = np.array([draw.choice([1.0, 1.5, 0.0, -1.0]) for _ in root])
+    want = sorted((-weight[i] * walked(i), i, walked(i)) for i in root if i in near and all(b != i for _, b in links))[:12]
+    assert G._best_reach(*np.array(links).T, root, weight, 12, 3) == want
+    none = np.zeros(0, np.int64)
+    assert G._best_reach(none, none, none, none, 5, 3) == []
+
+
 def test_search_checks_and_recipes(spark):
     import pytest
 
