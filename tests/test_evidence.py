@@ -310,6 +310,16 @@ def test_flow_tree_claims_siblings_first(spark):
     assert {r["name"] for r in G.flow_tree(e, s, "r", depth=3, breadth=1).collect()} == {"a", "b", "d"} and G.flow_tree(e, s, "absent").isEmpty()
 
 
+def test_flow_tree_looks_past_callees_that_others_claimed(spark):
+    # the names that b calls first are all claimed below a before b is visited
+    taken = [f"c{i:02}" for i in range(12)]
+    links = [("r", "a"), ("r", "b"), ("a", "d"), ("a", "e"), *(("d", x) for x in taken[:6]), *(("e", x) for x in taken[6:])]
+    links += [("b", x) for x in taken] + [("b", "z")]
+    e = spark.createDataFrame([edge(i, *p) for i, p in enumerate(links)], EDGE)
+    got = {(r["name"], r["parent"]) for r in G.flow_tree(e, spark.createDataFrame([], SYM), "r", breadth=6).collect()}
+    assert got == {(t, s) for s, t in links if s != "b"} | {("z", "b")}
+
+
 def test_hot_keys_and_outliers_in_percentiles(spark):
     from graphloom.operators.skew import key_percentiles
 
